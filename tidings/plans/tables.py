@@ -78,20 +78,22 @@ def with_sk(items: DataFrame) -> DataFrame:
 def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index pages with release-note links, one page per order.
 
-    Each links its order twice: first in one of several spellings, by status an empty link or one
-    with an unknown month; the second link has markup and entities in its title.
+    Each links its order twice. The first link has an empty title (1-URGENT), an unknown month
+    (2-HIGH), or no quotes and an upper-case month; the second has markup and entities in its
+    title.
     """
-    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
     year, month = F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "MMMM")
     base = "/aws/en/release-notes/product/"
     href = text_of(base, year, "/", F.lower(month), "#order-", key)
-    first = (F.when(status == "F", text_of("<a class=x href='", href, "'> <!-- none --> </a>"))
-             .when(status == "P", text_of('<a href="', base, year, '/smarch#order-', key,
-                                          '">Lost</a>'))
+    first = (F.when(priority == "1-URGENT",
+                    text_of("<a class=x href='", href, "'> <!-- none --> </a>"))
+             .when(priority == "2-HIGH",
+                   text_of('<a href="', base, year, '/smarch#order-', key, '">Lost</a>'))
              .otherwise(text_of("<A HREF=", base, year, "/", F.upper(month), "#order-", key,
                                 ">Upper &amp; bare</A>")))
-    second = text_of('<li><a href="', href, '" id="l">Order <b>', key, "</b> &quot;",
-                     F.col("o_orderpriority"), "&quot;\n</a></li>")
+    second = text_of('<li><a href="', href, '" id="l">Order <b>', key, "</b> &quot;", priority,
+                     "&quot;\n</a></li>")
     return table(spark, sf_dir, "orders").select(
         key.alias("origin"), text_of("<nav>", first, second, "</nav>").alias("html"))
 
@@ -109,7 +111,7 @@ def month_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     heading = text_of('<h2 class="t" id="order-', key, '">Order</h2>')
     body = text_of("<p>", line, "</p><h2>no id</h2><ul><li>Total ", F.col("o_custkey"),
                    "</li><li>Status &amp; ", status, "</li></ul>")
-    again = F.when(F.col("o_orderpriority") == "1-URGENT",
+    again = F.when(F.col("o_orderpriority") == "5-LOW",
                    text_of(heading, "<p>Repeated ", key, "</p>")).otherwise(F.lit(""))
     return table(spark, sf_dir, "orders").select(
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
