@@ -96,7 +96,7 @@ WS_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_LIST_ITEM = r"(?iu)<li[^>]*>"
-HTML_LINE_BREAK = rf"(?iu)</p>|<br{WS_CLASS}*/?>|</li>|</h[1-6]>"
+HTML_LINE_BREAK = rf"(?iu)<(?:/(?:p|li|h[1-6])|br{WS_CLASS}*/?)>"
 HTML_TAG = r"<[^>]+>"
 
 # groups: path, year, month name, slug, inner HTML

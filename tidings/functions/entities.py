@@ -118,4 +118,6 @@ def decode_common(text: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Decode the HTML character references of `text`, once (no double decoding)."""
-    return F.when(text.rlike(_BEYOND_COMMON), decode_all(text)).otherwise(decode_common(text))
+    return (F.when(~text.contains("&"), text)
+            .when(text.rlike(_BEYOND_COMMON), decode_all(text))
+            .otherwise(decode_common(text)))

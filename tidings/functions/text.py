@@ -47,14 +47,8 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def strip_lines(text: Column) -> Column:
-    """Strip each line.
-
-    Whitespace after a newline goes first, so the second pattern only ever meets a run that the
-    look-behind anchors at its start: both passes are linear even on long whitespace runs.
-    """
-    blank = fv.WS_CLASS.replace(r"\t-\r", r"\t\x0b-\r")  # the same class without the newline
-    text = F.regexp_replace(text, rf"\n{blank}++", "\n")
-    return F.regexp_replace(text, rf"(?<!{blank}){blank}++\n", "\n")
+    """Strip each line. Several times faster than a pattern that looks for blanks at line ends."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), strip), "\n")
 
 
 def collapse_blank_lines(text: Column) -> Column:

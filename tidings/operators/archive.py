@@ -26,13 +26,24 @@ def upsert(archive: DataFrame, incoming: DataFrame,
            order: list[str] = ORDER_COLUMNS) -> DataFrame:
     """Archive rows overwritten and extended by `incoming`, per (month, id).
 
-    Both frames have the same columns. The shuffle is on (month, id), so a month that holds a
-    third of the archive is spread like any other.
+    Both frames have the same columns; `archive` has one row per (month, id), as this function
+    leaves it. An overwritten row keeps its place in the month.
+
+    The archive is only filtered by the batch's keys, and its places are looked up in a second,
+    narrow scan. So with a batch that Spark can broadcast no archived row is shuffled or sorted;
+    with a larger one the joins are on (month, id), which spreads a month that holds a third of
+    the archive like any other.
     """
-    sided = (archive.withColumn("__side", F.lit(0))
-             .unionByName(incoming.withColumn("__side", F.lit(1))))
-    kept = last_value_first_place(sided, ["month", "id"], ["__side", *order])
-    return kept.select(*archive.columns)
+    keys = ["month", "id"]
+    batch = last_value_first_place(incoming, keys, order)
+    untouched = archive.join(batch.select(*keys), keys, "left_anti")
+    places = (archive.join(batch.select(*keys), keys, "left_semi")
+              .select(*keys, F.struct(*order).alias("__place")))
+    replaced = batch.join(places, keys, "left")
+    placed = [F.coalesce(F.col("__place")[c], F.col(c)).alias(c) for c in order]
+    others = [c for c in archive.columns if c not in keys and c not in order]
+    written = replaced.select(*keys, *others, *placed)
+    return untouched.unionByName(written)
 
 
 def new_count(archive: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -12,31 +12,69 @@ Rules = list[tuple[str, list[str]]]
 MAX_COMPILED_KEYWORDS = 2000
 
 
-def keyword_pattern(keywords: list[str]) -> str:
-    """Any of `keywords` at the start of a word; the end is open, so stems match."""
-    return f"(?iu){fv.WORD_START}(?:{'|'.join(map(re.escape, keywords))})"
-
-
 def item_text(title: Column, summary: Column) -> Column:
     """The text the rules look at."""
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(summary, F.lit("")))
 
 
-def rule_category(text: Column, rules: Rules = fv.CATEGORY_RULES,
-                  fallback: str = fv.FALLBACK_CATEGORY) -> Column:
-    """First category with a keyword in `text`.
+def alternatives(words: list[str]) -> str:
+    """Pattern for any of `words`, with shared beginnings factored out.
 
-    Most texts match nothing, so one pass over all keywords settles them before the ordered
-    per-category tests run.
+    The matcher then rules out most positions on their first letter instead of trying each word.
+    """
+    by_first: dict[str, list[str]] = {}
+    for word in words:
+        by_first.setdefault(word[0], []).append(word[1:])
+    parts = []
+    for first, rests in by_first.items():
+        if "" in rests:  # the shortest word decides: ends are open
+            parts.append(re.escape(first))
+        elif len(rests) == 1:
+            parts.append(re.escape(first + rests[0]))
+        else:
+            parts.append(f"{re.escape(first)}(?:{alternatives(rests)})")
+    return "|".join(parts)
+
+
+def keyword_hits(text: Column, keywords: list[str]) -> Column:
+    """The places of `text` where a keyword starts a word, as one short string.
+
+    Each place contributes a line with as many characters as the longest keyword has. Places do
+    not consume text, so overlapping keywords are all kept. A keyword's end is open: stems match.
+    """
+    window = max(map(len, keywords))
+    place = f"(?isu){fv.WORD_START}(?={alternatives(keywords)})(?=(.{{1,{window}}}))"
+    return F.array_join(F.regexp_extract_all(text, F.lit(place), 1), "\n")
+
+
+def hit_category(hits: Column, rules: Rules, fallback: str) -> Column:
+    """First category with a keyword at the start of a line of `hits`."""
+    choice = F.when(hits == "", F.lit(fallback))
+    for category, keywords in rules:
+        choice = choice.when(hits.rlike(f"(?iu)(?:^|\n)(?:{alternatives(keywords)})"),
+                             F.lit(category))
+    return choice.otherwise(F.lit(fallback))
+
+
+def with_category(items: DataFrame, text: Column, hint: Column | None = None,
+                  rules: Rules = fv.CATEGORY_RULES,
+                  hints: dict[str, str] = fv.REPO_CATEGORY_HINTS,
+                  fallback: str = fv.FALLBACK_CATEGORY) -> DataFrame:
+    """Add `category`: a known hint wins, else the first category with a keyword in `text`.
+
+    However many categories there are, the text is searched once; the ordered tests run on the
+    few hits. The hits are staged as a column so that they are not computed per test, and are not
+    computed at all where the hint decides.
     """
     rules = [(category, keywords) for category, keywords in rules if keywords]
+    hinted = F.lit(None).cast("string") if hint is None else hint_category(hint, hints)
     if not rules:
-        return F.lit(fallback)
-    everything = [keyword for _, keywords in rules for keyword in keywords]
-    choice = F.when(~text.rlike(keyword_pattern(everything)), F.lit(fallback))
-    for category, keywords in rules[:-1]:
-        choice = choice.when(text.rlike(keyword_pattern(keywords)), F.lit(category))
-    return choice.otherwise(F.lit(rules[-1][0]))
+        return items.withColumn("category", F.coalesce(hinted, F.lit(fallback)))
+    keywords = [keyword for _, words in rules for keyword in words]
+    staged = items.withColumn("__hinted", hinted).withColumn(
+        "__hits", F.when(F.col("__hinted").isNull(), keyword_hits(text, keywords)))
+    category = F.coalesce("__hinted", hit_category(F.col("__hits"), rules, fallback))
+    return staged.withColumn("category", category).drop("__hinted", "__hits")
 
 
 def hint_category(hint: Column, hints: dict[str, str] = fv.REPO_CATEGORY_HINTS) -> Column:
@@ -47,15 +85,6 @@ def hint_category(hint: Column, hints: dict[str, str] = fv.REPO_CATEGORY_HINTS)
     return F.element_at(F.create_map(*pairs), hint)
 
 
-def categorize(title: Column, summary: Column, hint: Column | None = None,
-               rules: Rules = fv.CATEGORY_RULES,
-               hints: dict[str, str] = fv.REPO_CATEGORY_HINTS,
-               fallback: str = fv.FALLBACK_CATEGORY) -> Column:
-    """Category of an item: a known hint wins over the keyword rules."""
-    by_rules = rule_category(item_text(title, summary), rules, fallback)
-    return by_rules if hint is None else F.coalesce(hint_category(hint, hints), by_rules)
-
-
 def with_table_category(items: DataFrame, key: str, text: str, rules: DataFrame,
                         fallback: str = fv.FALLBACK_CATEGORY,
                         max_compiled: int = MAX_COMPILED_KEYWORDS) -> DataFrame:
@@ -73,7 +102,7 @@ def with_table_category(items: DataFrame, key: str, text: str, rules: DataFrame,
     for row in head:
         ordered.setdefault((row["priority"], row["category"]), []).append(row["keyword"])
     compiled = [(category, keywords) for (_, category), keywords in ordered.items()]
-    return items.withColumn("category", rule_category(F.col(text), compiled, fallback))
+    return with_category(items, F.col(text), rules=compiled, fallback=fallback)
 
 
 def fold_case(text: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidings import fixed_values as fv
 from tidings.functions.text import strip, url_id
-from tidings.operators.classify import Rules, categorize
+from tidings.operators.classify import Rules, item_text, with_category
 from tidings.schema import ITEM_COLUMNS
 
 
@@ -29,9 +29,9 @@ def to_items(df: DataFrame, *, source: Column, source_label: Column, title: Colu
         (none if hint is None else hint).alias("__hint"),
         *carry,
     )
-    category = categorize(F.col("title"), F.col("summary"),
-                          None if hint is None else F.col("__hint"), rules, hints)
-    return staged.withColumn("category", category).select(*ITEM_COLUMNS, *carry)
+    known = None if hint is None else F.col("__hint")
+    text = item_text(F.col("title"), F.col("summary"))
+    return with_category(staged, text, known, rules, hints).select(*ITEM_COLUMNS, *carry)
 
 
 def blog_items(entries: DataFrame, carry: tuple[str, ...] = (), **rules) -> DataFrame:

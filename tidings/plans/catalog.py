@@ -58,13 +58,13 @@ def url_id(spark, sf_dir):
 
 @query
 def html_to_text(spark, sf_dir):
-    pages = t.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = t.texts(spark, sf_dir, "pages").select("page_id", "html")
     return tx.with_plain_text(pages, "html", "text").select("page_id", "text")
 
 
 @query
 def truncate_summary(spark, sf_dir):
-    documents = t.table(spark, sf_dir, "documents")
+    documents = t.texts(spark, sf_dir, "documents")
     return documents.select("doc_id", tx.truncate_text(F.col("text")).alias("summary"))
 
 
@@ -72,7 +72,7 @@ def truncate_summary(spark, sf_dir):
 def drop_trailer_lines(spark, sf_dir):
     body = t.text_of("Reviewed-by: one\n", F.col("text"), "\n  CO-AUTHORED-BY: two\nkept by: x\n",
                      "Signed-off-by : kept\n\tsigned-off-by:three\n")
-    return t.table(spark, sf_dir, "documents").select(
+    return t.texts(spark, sf_dir, "documents").select(
         "doc_id", tx.drop_trailer_lines(body).alias("body"))
 
 
@@ -83,7 +83,7 @@ def leading_date(spark, sf_dir):
     gap = F.when(F.col("o_orderstatus") == "F", F.lit("\n\n")).otherwise(F.lit(" \n"))
     body = t.text_of(name, F.date_format("o_orderdate", " d, yyyy"), gap, "Order ",
                      F.col("o_orderkey"))
-    lines = t.table(spark, sf_dir, "orders").select("o_orderkey", body.alias("text"))
+    lines = t.texts(spark, sf_dir, "orders").select("o_orderkey", body.alias("text"))
     return lines.select("o_orderkey", dates.leading_date(F.col("text")).alias("exact_date"),
                         dates.drop_leading_date(F.col("text")).alias("body"))
 
@@ -111,7 +111,7 @@ def feed_dates(spark, sf_dir):
              .when(F.col("o_orderstatus") == "O",
                    F.date_format("o_orderdate", "yyyy-MM-dd'T01:15:00.5+02:00'"))
              .otherwise(F.lit("soon")))
-    stamped = t.table(spark, sf_dir, "orders").select("o_orderkey", stamp.alias("stamp"))
+    stamped = t.texts(spark, sf_dir, "orders").select("o_orderkey", stamp.alias("stamp"))
     return stamped.select("o_orderkey", "stamp", dates.feed_date(F.col("stamp")).alias("day"))
 
 
@@ -127,9 +127,10 @@ def recent_months(spark, sf_dir):
 @query
 def categorize(spark, sf_dir):
     entries = t.document_entries(spark, sf_dir)
-    category = classify.categorize(F.col("title"), F.col("summary"), F.col("repo"),
-                                   t.PROSE_RULES, t.PROSE_HINTS, t.PROSE_FALLBACK)
-    return entries.select("doc_id", category.alias("category"))
+    text = classify.item_text(F.col("title"), F.col("summary"))
+    return classify.with_category(
+        entries, text, F.col("repo"), t.PROSE_RULES, t.PROSE_HINTS, t.PROSE_FALLBACK
+    ).select("doc_id", "category")
 
 
 @query
@@ -141,9 +142,9 @@ def categorize_taxonomy(spark, sf_dir):
     keyword = F.element_at(keywords, (doc % n + 1).cast("int"))
     lead = F.when(doc % 3 == 0, F.lit("News x")).otherwise(F.lit("News ("))
     title = t.text_of(lead, F.initcap(keyword), "s)")
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", title.alias("title"), "text")
-    return docs.select("doc_id", "title",
-                       classify.categorize(F.col("title"), F.col("text")).alias("category"))
+    docs = t.texts(spark, sf_dir, "documents").select("doc_id", title.alias("title"), "text")
+    text = classify.item_text(F.col("title"), F.col("text"))
+    return classify.with_category(docs, text).select("doc_id", "title", "category")
 
 
 def prose_rules_table(spark) -> DataFrame:
@@ -153,7 +154,7 @@ def prose_rules_table(spark) -> DataFrame:
 
 @query
 def categorize_rules_table(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = t.texts(spark, sf_dir, "documents").select("doc_id", "text")
     found = classify.with_table_category(docs, "doc_id", "text", prose_rules_table(spark),
                                          t.PROSE_FALLBACK)
     return found.select("doc_id", "category")
@@ -161,7 +162,7 @@ def categorize_rules_table(spark, sf_dir):
 
 @query
 def categorize_rules_join(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = t.texts(spark, sf_dir, "documents").select("doc_id", "text")
     found = classify.with_joined_category(docs, "doc_id", "text", prose_rules_table(spark),
                                           t.PROSE_FALLBACK)
     return found.select("doc_id", "category")
@@ -194,7 +195,7 @@ def normalize_releases(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    pages = t.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = t.texts(spark, sf_dir, "pages").select("page_id", "html")
     links = extract.page_links(pages, ANCHOR, ["page_id", "href"], ["pos"])
     return links.select("page_id", "href", "pos", "title")
 
@@ -207,7 +208,7 @@ def note_links(spark, sf_dir):
 
 @query
 def page_sections(spark, sf_dir):
-    pages = t.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = t.texts(spark, sf_dir, "pages").select("page_id", "html")
     return extract.page_sections(pages, PAGE_HEADING).select("page_id", "pos", "slug", "section")
 
 
@@ -515,7 +516,7 @@ def table_sources(spark, sf_dir, orders_until: str | None = None) -> dict[str, D
     """Documents, pages and orders as the three sources of a run."""
     docs = t.document_entries(spark, sf_dir).select(
         "*", F.lit("documents").alias("origin"), F.col("doc_id").alias("pos"))
-    plain = tx.with_plain_text(t.table(spark, sf_dir, "pages"), "html", "summary").select(
+    plain = tx.with_plain_text(t.texts(spark, sf_dir, "pages"), "html", "summary").select(
         F.col("page_id").alias("pos"), F.lit("pages").alias("origin"), "url", "summary",
         t.text_of("Page ", F.col("page_id")).alias("title"),
         F.lit(None).cast("string").alias("published"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidings import fixed_values as fv
 from tidings.functions.dates import sort_key
 from tidings.functions.text import url_id
+from tidings.sources.reading import spread
 
 SITE = "https://example.com"
 DAY = "yyyy-MM-dd"
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to parse, spread over the cores if its files are few."""
+    return spread(table(spark, sf_dir, name))
+
+
 def text_of(*parts):
     """Concatenate columns, given as Column, and literals, given as str."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -94,7 +100,7 @@ def index_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 ">Upper &amp; bare</A>")))
     second = text_of('<li><a href="', href, '" id="l">Order <b>', key, "</b> &quot;", priority,
                      "&quot;\n</a></li>")
-    return table(spark, sf_dir, "orders").select(
+    return texts(spark, sf_dir, "orders").select(
         key.alias("origin"), text_of("<nav>", first, second, "</nav>").alias("html"))
 
 
@@ -113,7 +119,7 @@ def month_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                    "</li><li>Status &amp; ", status, "</li></ul>")
     again = F.when(F.col("o_orderpriority") == "5-LOW",
                    text_of(heading, "<p>Repeated ", key, "</p>")).otherwise(F.lit(""))
-    return table(spark, sf_dir, "orders").select(
+    return texts(spark, sf_dir, "orders").select(
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"),
         key.alias("origin"),
         text_of("<h1>Page</h1>", heading, body, again, "<h2 id='end'>End</h2>tail")
@@ -129,7 +135,7 @@ def described_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(page % 4 == 1, text_of('<META content="', text, '" name="description">'))
            .when(page % 4 == 2, F.lit('<meta name="description" x content="">'))
            .otherwise(F.lit("")))
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         "page_id", text_of(SITE, "/post/", page).alias("url"),
         text_of(tag, F.col("html")).alias("html"))
 
@@ -137,7 +143,7 @@ def described_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as feed entries with an undated title that needs stripping."""
     doc = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", F.col("source").alias("repo"),
         text_of("\u00a0 Document ", doc, " in ", F.col("lang"), "\n").alias("title"),
         text_of(SITE, "/post/", doc).alias("url"),
