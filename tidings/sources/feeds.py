@@ -16,34 +16,40 @@ from tidings.schema import ATOM_ENTRY, RSS_ENTRY
 REPO_OF_PATH = r"([^/]+/[^/]+)/releases\.atom$"
 
 
-def scan_xml(spark: SparkSession, path: str, row_tag: str, schema,
-             stream: bool = False) -> DataFrame:
-    """Records of all documents under `path`, with `origin` (document) and `pos`.
+def read_records(reader, path: str, row_tag: str, schema) -> DataFrame:
+    """Records of all documents under `path` with `origin`, their document.
 
-    As a stream it yields the records of documents that landed since the last run.
+    `reader` is `spark.read`, or `spark.readStream` for the documents landed since the last run.
     """
-    reader = spark.readStream if stream else spark.read
     records = (
         reader.format("xml").schema(schema)
         .option("rowTag", row_tag)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
         .load(path))
-    return records.select(
-        "*", F.col("_metadata.file_path").alias("origin"),
-        F.monotonically_increasing_id().alias("pos"))
+    return records.select("*", F.col("_metadata.file_path").alias("origin"))
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Add `pos`, ascending within each document."""
+    return records.withColumn("pos", F.monotonically_increasing_id())
+
+
+def scan_xml(spark: SparkSession, path: str, row_tag: str, schema) -> DataFrame:
+    """Records of all documents under `path`, with `origin` and `pos`."""
+    return numbered(read_records(spark.read, path, row_tag, schema))
 
 
 def is_entry(title: Column, url: Column) -> Column:
     return title.isNotNull() & blank_to_null(url).isNotNull()
 
 
-def scan_rss(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+def scan_rss(spark: SparkSession, path: str) -> DataFrame:
     """RSS documents -> (title, url, published, summary, tags, origin, pos).
 
     `published` is the UTC date of pubDate; `summary` is still the feed's own markup.
     """
-    return rss_entries(scan_xml(spark, path, "item", RSS_ENTRY, stream))
+    return rss_entries(scan_xml(spark, path, "item", RSS_ENTRY))
 
 
 def rss_entries(records: DataFrame) -> DataFrame:
@@ -55,14 +61,13 @@ def rss_entries(records: DataFrame) -> DataFrame:
     return entries.where(is_entry(F.col("title"), F.col("url")))
 
 
-def scan_atom(spark: SparkSession, path: str, repo_of_path: str = REPO_OF_PATH,
-              stream: bool = False) -> DataFrame:
+def scan_atom(spark: SparkSession, path: str, repo_of_path: str = REPO_OF_PATH) -> DataFrame:
     """Atom documents -> (repo, title, url, published, summary, origin, pos).
 
     The repository is named by the document's path. The summary is the entry's summary, else its
     content, as plain text without commit trailers.
     """
-    return atom_entries(scan_xml(spark, path, "entry", ATOM_ENTRY, stream), repo_of_path)
+    return atom_entries(scan_xml(spark, path, "entry", ATOM_ENTRY), repo_of_path)
 
 
 def atom_entries(records: DataFrame, repo_of_path: str = REPO_OF_PATH) -> DataFrame:

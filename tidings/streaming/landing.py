@@ -11,22 +11,23 @@ from pyspark.sql import DataFrame
 
 from tidings import fixed_values as fv
 from tidings.plans.daily import daily_run, union_sources
+from tidings.sources.feeds import numbered
 from tidings.sources.store import Store
 
 
-def merge_new_files(entries: DataFrame, to_items: Callable[[DataFrame], DataFrame], store: Store,
+def merge_new_files(records: DataFrame, to_items: Callable[[DataFrame], DataFrame], store: Store,
                     checkpoint: str, as_of: str, max_items: int | None = fv.MAX_ITEMS,
                     max_age_days: int | None = fv.MAX_AGE_DAYS) -> None:
     """Merge what landed since the last call into the store, then stop.
 
-    `entries` is a streaming scan of feed entries; `to_items` turns them into items with
-    (origin, pos). `checkpoint` is a folder that all executors share and that outlives the run.
+    `records` is `feeds.read_records` on `spark.readStream`; `to_items` turns a batch of numbered
+    records into items with (origin, pos). `checkpoint` is a folder that all executors share and that outlives the run.
     """
     def run(batch: DataFrame, _: int) -> None:
-        fresh = union_sources({"landed": to_items(batch)})
+        fresh = union_sources({"landed": to_items(numbered(batch))})
         daily_run(batch.sparkSession, store, fresh, as_of, max_items, max_age_days)
 
-    query = (entries.writeStream.foreachBatch(run)
+    query = (records.writeStream.foreachBatch(run)
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
