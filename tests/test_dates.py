@@ -39,6 +39,25 @@ def test_rfc2822_replaces_the_offset(spark, stamp):
     assert one(spark, stamp, dates.rfc2822) == want
 
 
+def test_dates_do_not_depend_on_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert one(spark, "Fri, 03 Jul 2026 23:30:00 -0500", dates.feed_date) == "2026-07-04"
+        assert one(spark, "2026-07-04", dates.feed_date) == "2026-07-04"
+        assert one(spark, "2026-07-03T10:11:12", dates.rfc2822) == (
+            "Fri, 03 Jul 2026 10:11:12 +0000")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("text, day", [
+    ("2026-07-03", "2026-07-03"), ("2026-07-03T10:11:12Z", "2026-07-03"), ("2026-02-30", None),
+    ("2026-07", None), ("", None), (None, None)])
+def test_iso_date(spark, text, day):
+    got = one(spark, text, dates.iso_date)
+    assert (got and got.isoformat()) == day
+
+
 @pytest.mark.parametrize("text, day, rest", [
     ("July 26, 2026\n\nBody", "2026-07-26", "Body"),
     ("jULY 6, 2026 \nBody\n", "2026-07-06", "Body\n"),

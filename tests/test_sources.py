@@ -79,13 +79,12 @@ def test_listing_and_repo_union(spark, tmp_path):
     assert listings.scan_repo_listing(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_scan_pages_keeps_the_newest_file(spark, tmp_path):
+def test_scan_pages_mirrors_the_site(spark, tmp_path):
     put(tmp_path, "notes/a/b.html", "<p>b</p>")
-    put(tmp_path, "notes/a/c@1.html", "old")
-    put(tmp_path, "notes/a/c@2.html", "new")
+    put(tmp_path, "notes/a/c d", "two\nlines é")
     pages = scan_pages(spark, str(tmp_path / "notes"), "notes", "https://example.com/")
     assert {r.url: r.html for r in pages.collect()} == {
-        "https://example.com/a/b": "<p>b</p>", "https://example.com/a/c": "new"}
+        "https://example.com/a/b": "<p>b</p>", "https://example.com/a/c d": "two\nlines é"}
 
 
 def test_isolate(spark, tmp_path):

@@ -70,6 +70,23 @@ def test_touched_months_prune_partitions(spark, tmp_path, plan_of):
     assert "PartitionFilters: [isnotnull(month" in plan
 
 
+def test_a_month_that_holds_most_rows_is_split(spark, tmp_path):
+    rows = spark.range(40_000).select(
+        F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("x"),
+        F.when(F.col("id") % 3 > 0, "2026-01").otherwise("2026-02").alias("month"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "512k")
+    try:
+        st.write_archive(rows, str(tmp_path / "a"))
+    finally:
+        spark.conf.set(key, old)
+    files = {m: len(list((tmp_path / f"a/month={m}").glob("*.parquet")))
+             for m in ("2026-01", "2026-02")}
+    assert files["2026-01"] > 2
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 40_000
+
+
 def test_three_daily_runs(spark, tmp_path):
     store = st.Store(str(tmp_path / "s"))
     first = daily_run(spark, store, fresh(

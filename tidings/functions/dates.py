@@ -85,17 +85,14 @@ def _offset(zone: Column) -> Column:
 
 
 def feed_date(stamp: Column) -> Column:
-    """Feed timestamp (RFC 822 or ISO 8601) -> ISO date in UTC, null when it is neither.
-
-    The session time zone has to be UTC.
-    """
+    """Feed timestamp (RFC 822 or ISO 8601) -> ISO date in UTC, null when it is neither."""
     def rfc(group: int) -> Column:
         return F.regexp_extract(stamp, _RFC822, group)
 
     def iso(group: int) -> Column:
         return F.regexp_extract(stamp, _ISO, group)
 
-    short_year = F.when(rfc(3).cast("int") < 69, F.lit("20")).otherwise(F.lit("19"))
+    short_year = F.when(rfc(3).try_cast("int") < 69, F.lit("20")).otherwise(F.lit("19"))
     year = F.when(F.length(rfc(3)) == 2, F.concat(short_year, rfc(3))).otherwise(rfc(3))
     seconds = F.coalesce(blank_to_null(rfc(5)), F.lit(":00"))
     rfc_text = F.concat(rfc(1), F.lit(" "), F.initcap(rfc(2)), F.lit(" "), year, F.lit(" "),
@@ -108,7 +105,7 @@ def feed_date(stamp: Column) -> Column:
                F.try_to_timestamp(rfc_text, F.lit("d MMM yyyy HH:mm:ss Z")))
         .when(stamp.rlike(_ISO),
               F.try_to_timestamp(iso_text, F.lit("yyyy-MM-dd HH:mm:ss Z"))))
-    return F.date_format(instant, "yyyy-MM-dd")
+    return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd")
 
 
 _FULL_DATE = r"^\d{4}-\d{2}-\d{2}(?:$|.\d{2}(?::\d{2}(?::\d{2})?)?)"
@@ -126,4 +123,10 @@ def rfc2822(stamp: Column) -> Column:
         F.lit("yyyy-MM-dd HH:mm:ss"))
     instant = F.when(F.length(stamp) == 10, day).otherwise(whole)
     return F.when(stamp.rlike(_FULL_DATE),
-                  F.date_format(instant, "EEE, dd MMM yyyy HH:mm:ss Z"))
+                  F.date_format(instant, "EEE, dd MMM yyyy HH:mm:ss '+0000'"))
+
+
+def iso_date(text: Column) -> Column:
+    """The DATE of an ISO date or datetime string, null when there is none."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"),
+                  F.substring(text, 1, 10).try_cast("date"))

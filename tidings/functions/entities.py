@@ -62,7 +62,7 @@ def _code_point(number: Column) -> Column:
     return (F.when(number == "", F.lit(None).cast("long"))
             .when(digits == "", F.lit(0))
             .when(F.length(digits) > 9, F.lit(_BEYOND_UNICODE))
-            .otherwise(value.cast("long")))
+            .otherwise(value.try_cast("long")))
 
 
 def _character(n: Column) -> Column:

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def new_items(fresh: DataFrame, live: DataFrame) -> DataFrame:
-    """Fresh items that are not live yet."""
-    return fresh.join(live.select("id"), "id", "left_anti")
+    """Fresh items that are not live yet. Ids are reduced first, so that none weighs much."""
+    return fresh.join(live.select("id").distinct(), "id", "left_anti")
 
 
 def assign_first_seen(items: DataFrame, ledger: DataFrame, as_of: str) -> DataFrame:
@@ -16,7 +16,7 @@ def assign_first_seen(items: DataFrame, ledger: DataFrame, as_of: str) -> DataFr
     aggregate and the second join reuse the partitioning of the first. The aggregate keeps the
     batch from being multiplied should an id be recorded twice.
     """
-    recorded = (ledger.join(items.select("id"), "id", "left_semi")
+    recorded = (ledger.join(items.select("id").distinct(), "id", "left_semi")
                 .groupBy("id").agg(F.min("first_seen").alias("__recorded")))
     columns = [c for c in items.columns if c != "first_seen"]
     return (items.select(*columns).join(recorded, "id", "left")

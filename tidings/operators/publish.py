@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from tidings import fixed_values as fv
-from tidings.functions.dates import rfc2822, sort_key
+from tidings.functions.dates import iso_date, rfc2822, sort_key
 from tidings.functions.text import blank_to_null
 from tidings.operators.retention import newest, with_sort_key
 from tidings.schema import ORDER_COLUMNS
@@ -53,3 +53,9 @@ def feed_entries(items: DataFrame, limit: int = fv.FEED_ITEMS,
 def site_items(items: DataFrame, generated_at: str) -> DataFrame:
     """The items as published, stamped with the time of the build."""
     return items.withColumn("generated_at", F.lit(generated_at))
+
+
+def with_dates(items: DataFrame) -> DataFrame:
+    """Add `published_date` and `first_seen_date`, the ISO strings as DATE; impossible -> null."""
+    return (items.withColumn("published_date", iso_date(F.col("published")))
+            .withColumn("first_seen_date", iso_date(F.col("first_seen"))))

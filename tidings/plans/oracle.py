@@ -464,6 +464,12 @@ def oracle_sql() -> dict[str, str]:
         "filter_source_date": f"""WITH {ORDER_ITEMS}
             SELECT id, source, published, first_seen FROM order_items
             WHERE source IN ('1-URGENT', '5-LOW') AND sk BETWEEN '1997-02-10' AND '1998-03-20'""",
+        "item_dates": f"""WITH {ORDER_ITEMS}, odd AS (
+                SELECT id, first_seen, CASE WHEN source = '5-LOW' AND published IS NOT NULL
+                                            THEN substr(published, 1, 8) || '32'
+                                            ELSE published END AS published FROM order_items)
+            SELECT id, published, {day('try_cast(published AS DATE)')} AS published_date,
+                   {day('try_cast(first_seen AS DATE)')} AS first_seen_date FROM odd""",
         "publish_items": f"""WITH {ORDER_ITEMS}
             SELECT id, source, source_label, title, url, published, first_seen, summary, category,
                    {joined('tags')} AS tags, '{c.GENERATED_AT}' AS generated_at

@@ -2,19 +2,14 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidings.operators.dedupe import keep_last
-
 
 def scan_pages(spark: SparkSession, path: str, root: str, base_url: str) -> DataFrame:
-    """HTML files -> (url, html), one row per page.
+    """HTML files -> (url, html), one row per file.
 
     Files mirror the site below the folder `root`: `<root>/a/b.html` is the page `<base_url>/a/b`.
-    A page landed more than once (`b@<stamp>.html`) counts with its newest file.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.col("value").alias("html"),
-        F.url_decode("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_modification_time").alias("landed"))
-    place = F.regexp_extract("file", rf"/{root}(/.*?)(?:@[^/@]*)?(?:\.html?)?$", 1)
-    pages = files.withColumn("url", F.concat(F.lit(base_url.rstrip("/")), place))
-    return keep_last(pages, ["url"], ["landed", "file"]).select("url", "html")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    place = F.regexp_extract(
+        F.url_decode("_metadata.file_path"), rf"/{root}(/.*?)(?:\.html?)?$", 1)
+    return files.select(F.concat(F.lit(base_url.rstrip("/")), place).alias("url"),
+                        F.col("value").alias("html"))

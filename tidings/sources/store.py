@@ -55,7 +55,9 @@ class Store:
         return path
 
     def append_ledger(self, additions: DataFrame) -> None:
-        additions.select(*LEDGER.fieldNames()).write.mode("append").parquet(self.path("ledger"))
+        """Append in files of a good size: the ledger is scanned whole by every run."""
+        (additions.select(*LEDGER.fieldNames()).hint("rebalance")
+         .write.mode("append").parquet(self.path("ledger")))
 
     def upsert_archive(self, incoming: DataFrame) -> None:
         """Merge `incoming` (with `month`) into its months; other months are not read or written.
