@@ -24,7 +24,8 @@ def categories(spark, texts, rules=fv.CATEGORY_RULES, fallback=fv.FALLBACK_CATEG
 EDGES = ["agent", "xagent", "éagent", "éagent", "²agent", "_agent", "-agent", "(Agent)",
          "AGENTIC", "storage", "a Kafka x", "STREAMING", "ſtreaming", "pıpeline",
          "digit git", "model catalog", "genie agent", "ai/bi", "fine-tuning", "٣agent", "中agent",
-         "agent\ngit", "token\nagent", ""]
+         "agent\ngit", "token\nagent", "", "𝐚agent", "😀agent", "𝟙git",
+         "x" * 5000 + " agent"]
 
 
 def test_word_starts_and_case(spark):

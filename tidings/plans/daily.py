@@ -12,7 +12,7 @@ from tidings.operators.merge import merge
 from tidings.operators.normalize import blog_items, note_items, release_items
 from tidings.operators.notes import enrich_links, month_pages, month_sections, recent_pages
 from tidings.operators.retention import ARCHIVE, LIVE, last_kept, with_placement
-from tidings.schema import ITEM_COLUMNS, STORED_ITEM
+from tidings.schema import FRESH_ITEM, ITEM_COLUMNS, PAGE, STORED_ITEM
 from tidings.shared import materialize
 from tidings.sources import feeds, listings
 from tidings.sources.pages import scan_pages
@@ -113,17 +113,19 @@ def landed_sources(spark: SparkSession, landing: str, base_url: str, as_of: str,
                    configured_repos: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All sources of a landing folder -> (fresh items, source status).
 
-    Folders: `blog/*.xml`, `posts/`, `releases/<owner>/<repo>/releases.atom`, `repos/*.json`,
-    `notes/` (site mirror: index page and month pages). A source that is missing contributes
+    Folders: `blog/*.xml`, `posts/` (one file per post), `releases/<owner>/<repo>/releases.atom`,
+    `repos/*.json`, `notes/` (a mirror of the site: index page and month pages). A source that is missing contributes
     nothing and the others go on.
     """
     def blog():
         return blog_source(spark, f"{landing}/blog/*.xml", posts())
 
     def posts():
+        # one page per file, named by its URL in percent encoding; no pages at all is fine
         frames, _ = isolate(spark, {"posts": lambda: scan_pages(
-            spark, f"{landing}/posts/*", "posts", "")}, "url string, html string")
-        return frames["posts"].withColumn("url", F.expr("url_decode(substring(url, 2))"))
+            spark, f"{landing}/posts/*", "posts", "")}, PAGE)
+        named = F.regexp_replace("url", "^/", "")
+        return frames["posts"].withColumn("url", F.url_decode(named))
 
     def releases():
         discovered = listings.scan_repo_listing(spark, f"{landing}/repos/*.json")
@@ -136,7 +138,5 @@ def landed_sources(spark: SparkSession, landing: str, base_url: str, as_of: str,
 
     readers: dict[str, Callable[[], DataFrame]] = {
         fv.SOURCE_BLOG: blog, fv.SOURCE_RELEASES: releases, fv.SOURCE_NOTES: notes}
-    schema = STORED_ITEM.fields
-    item_place = type(STORED_ITEM)([f for f in schema if f.name != "batch"])
-    frames, status = isolate(spark, readers, item_place)
+    frames, status = isolate(spark, readers, FRESH_ITEM)
     return union_sources(frames), status

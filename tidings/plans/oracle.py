@@ -26,10 +26,10 @@ def day(column: str) -> str:
 
 
 def entities(text: str) -> str:
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"),
-                       ("amp", "&")):
+    """The references that occur in the tables; an ampersand's semicolon may be missing."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·")):
         text = f"replace({text}, '&{name};', '{char}')"
-    return text
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
 
 def plain(html: str) -> str:

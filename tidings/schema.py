@@ -31,20 +31,15 @@ ORDER_COLUMNS = ORDER.fieldNames()
 
 STORED_ITEM = T.StructType(ITEM.fields + ORDER.fields)
 
+#: An item of a batch that has not been numbered yet.
+FRESH_ITEM = T.StructType([f for f in STORED_ITEM.fields if f.name != "batch"])
+
 LEDGER = T.StructType([T.StructField("id", _S), T.StructField("first_seen", _S)])
 
 ARCHIVED_ITEM = T.StructType(STORED_ITEM.fields + [T.StructField("month", _S)])
 
 MANIFEST = T.StructType([T.StructField("month", _S), T.StructField("count", _L)])
 
-LINK = T.StructType([
-    T.StructField("year", T.IntegerType()),
-    T.StructField("month", T.IntegerType()),
-    T.StructField("slug", _S),
-    T.StructField("title", _S),
-    T.StructField("url", _S),
-])
-
 PAGE = T.StructType([T.StructField("url", _S), T.StructField("html", _S)])
 
 #: RSS <item>, as far as it is used.
