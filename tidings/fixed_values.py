@@ -90,8 +90,10 @@ MAX_AGE_DAYS = 90
 WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # --- patterns, in Java syntax -----------------------------------------------------------------
-# A word character is a letter, a number of any kind, or the underscore.
-WORD_START = r"(?<![\p{L}\p{N}_])"
+# A word character is a letter, a number of any kind, or the underscore. A word starts after any
+# other character, or at the start of the text. (A look-behind would see only half of a character
+# beyond the basic plane.)
+WORD_START = r"(?:[^\p{L}\p{N}_]|^)"
 WS_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 HTML_COMMENT = r"(?s)<!--.*?-->"
@@ -106,7 +108,7 @@ NOTE_LINK = (
 )
 # group: slug
 SECTION_HEADING = (
-    rf"""(?isu)<h2[^>]*{WORD_START}id=["']?([a-z0-9-]+)["']?[^>]*>.*?</h2>"""
+    r"""(?isu)<h2[^>]*[^\p{L}\p{N}_>]id=["']?([a-z0-9-]+)["']?[^>]*>.*?</h2>"""
 )
 # groups: year, month name; the page that holds a month's sections
 MONTH_PAGE_URL = r"(?iu)/aws/en/release-notes/product/(\d{4})/([a-z]+)/?(?:[?#].*)?$"

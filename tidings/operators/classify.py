@@ -39,8 +39,9 @@ def alternatives(words: list[str]) -> str:
 def keyword_hits(text: Column, keywords: list[str]) -> Column:
     """The places of `text` where a keyword starts a word, as one short string.
 
-    Each place contributes a line with as many characters as the longest keyword has. Places do
-    not consume text, so overlapping keywords are all kept. A keyword's end is open: stems match.
+    Each place contributes a line with as many characters as the longest keyword has. A match
+    consumes no more than the character before the word, so overlapping keywords are all kept. A
+    keyword's end is open: stems match. Keywords start with a word character.
     """
     window = max(map(len, keywords))
     place = f"(?isu){fv.WORD_START}(?={alternatives(keywords)})(?=(.{{1,{window}}}))"
