@@ -14,6 +14,9 @@ RUN_BYTES = 1 << 20
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Any ASCII character but letters and digits stands between words.
+NOT_ALNUM = np.zeros(256, dtype=bool)
+NOT_ALNUM[:128] = [not chr(c).isalnum() for c in range(128)]
 SAME = np.arange(256, dtype=np.uint64) + np.uint64(1)
 LOWER = SAME.copy()
 LOWER[65:91] += np.uint64(32)
@@ -72,9 +75,10 @@ class Words:
     """Words of a run: `start`, `end` (byte positions), `doc` (row), `hash`, and per row `first`
     (its first word; one entry more than rows)."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, lower: bool,
+                 between: np.ndarray = IS_SPACE):
         word = np.zeros(len(data) + 2, dtype=np.int8)
-        word[1:-1] = ~IS_SPACE[data]
+        word[1:-1] = ~between[data]
         begins = word[1:] > word[:-1]        # begins[i]: a word starts at byte i
         ends = word[1:] < word[:-1]
         inner = bounds[1:-1]                 # a row's end also ends a word
@@ -89,8 +93,14 @@ class Words:
         up, down = powers(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((LOWER if lower else SAME)[data] * up[:-1], dtype=np.uint64, out=total[1:])
+        self.total, self.down = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
 
+    def beginnings(self, size: int) -> np.ndarray:
+        """Hashes of the first `size` bytes of each word (of the whole word, if it is shorter)."""
+        end = np.minimum(self.start + size, self.end)
+        return mix((self.total[end] - self.total[self.start]) * self.down[self.start])
+
     def __len__(self) -> int:
         return len(self.start)
 
