@@ -86,7 +86,7 @@ def regions(shingles: np.ndarray, windows: Windows) -> np.ndarray:
         size = np.diff(bounds)
         nearest = np.lexsort((np.arange(m), -size))[:enter]
         content = sums[bounds[1:]] - sums[bounds[:-1]]
-        keys.append(mix(content[nearest] + np.uint64(w + 1) * np.uint64(0xE7037ED1A0B428DB)
+        keys.append(mix(content[nearest] + np.uint64((w + 1) * 0xE7037ED1A0B428DB & 0xFFFFFFFFFFFFFFFF)
                         + (nearest.astype(np.uint64) + np.uint64(1))
                         * np.uint64(0x8EBC6AF09C88C6E3)))
     return np.concatenate(keys)

@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidings.llm.training import labelled_sample
-from tidings.llm.words import NOT_ALNUM, Words, runs
+from tidings.llm.words import NOT_ALNUM, Words, mix, runs
 
 #: Most labelled documents to learn from.
 TRAIN_DOCUMENTS = 30_000
-#: Prior weight in words; the deviation (in standard errors) that makes a word toxic; the scored words
-#: kept, by deviation; the score of any other word.
-PRIOR_WORDS, DEVIATION, SCORED_WORDS, OTHER = 5_000.0, 8.0, 20_000, -0.25
+#: Prior weight in documents; the log-odds and their deviation (in standard errors) that make a word
+#: toxic; the scored words kept, by deviation; the score of any other word.
+PRIOR_DOCUMENTS, ODDS, DEVIATION, SCORED_WORDS, OTHER = 30.0, 3.0, 3.0, 20_000, -0.25
 #: Bytes of the beginnings; the last one takes in nearly every word whole.
 BEGINNINGS = [3, 4, 5, 6, 7, 9, 40]
 #: A segment is significant if clean text has one as good with at most this chance.
@@ -104,33 +104,41 @@ def _count(batches):
         toxic = batch.column(1).to_numpy()
         for low, _, data, bounds in runs(batch.column(0)):
             words = Words(data, bounds, lower=True, between=NOT_ALNUM)
-            own = toxic[low:][words.doc]
-            for label, unit in [(a, b) for a in (0, 1) for b in BEGINNINGS]:
-                hashes, n = np.unique(unit_hashes(words, unit)[own == label], return_counts=True)
+            for unit in BEGINNINGS:
+                h = unit_hashes(words, unit)
+                # Once for each document, so that what one text repeats doesn't weigh more.
+                own = mix(h + words.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                _, once = np.unique(own, return_index=True)
+                labels = toxic[low:][words.doc[once]]
+                hashes, which = np.unique(h[once], return_inverse=True)
+                n1 = np.bincount(which, labels, minlength=len(hashes)).astype(np.int64)
+                n0 = np.bincount(which, 1 - labels, minlength=len(hashes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(n * label), pa.array(n * (1 - label))],
+                    [pa.array(hashes.view(np.int64)), pa.array(n1), pa.array(n0)],
                     names=["hash", "toxic", "clean"])
 
 
 def word_scores(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Hashes and scores of words that deviate, and the share of scored words in clean text."""
+    """Hashes and scores of words that deviate, and about what share of clean text they are: their
+    documents, over the documents of a hundred words each."""
     counts = sample.select("text", "label").mapInArrow(
         _count, "hash bigint, toxic bigint, clean bigint").groupBy("hash").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    sums = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
-    n1, n0 = ((sums[c] or 0) / len(BEGINNINGS) for c in ("toxic", "clean"))
+    n = {r["label"]: float(r["count"]) for r in sample.groupBy("label").count().collect()}
+    n1, n0 = n.get(1, 0.0), n.get(0, 0.0)
     if not n1 or not n0:
         return np.empty(0, np.uint64), np.empty(0), 0.0
-    prior = PRIOR_WORDS * (F.col("toxic") + F.col("clean")) / (n1 + n0)
+    prior = PRIOR_DOCUMENTS * (F.col("toxic") + F.col("clean")) / (n1 + n0)
     y1, y0 = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(y1 / (n1 + PRIOR_WORDS - y1)) - F.log(y0 / (n0 + PRIOR_WORDS - y0))
-    table = (counts.select("hash", "clean", odds.alias("odds"),
-                           (odds / F.sqrt(1 / y1 + 1 / y0)).alias("deviation"))
-             .where(F.col("deviation") > DEVIATION)
+    odds = F.log(y1 / (n1 + PRIOR_DOCUMENTS - y1)) - F.log(y0 / (n0 + PRIOR_DOCUMENTS - y0))
+    table = (counts.where((y1 < n1 + PRIOR_DOCUMENTS) & (y0 < n0 + PRIOR_DOCUMENTS))
+             .select("hash", "clean", odds.alias("odds"),
+                     (odds / F.sqrt(1 / y1 + 1 / y0)).alias("deviation"))
+             .where((F.col("odds") > ODDS) & (F.col("deviation") > DEVIATION))
              .orderBy(F.desc("deviation"), "hash").limit(SCORED_WORDS).toPandas())
     hashes = table["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], table["odds"].to_numpy(float)[order], float(table["clean"].sum()) / n0
+    return hashes[order], table["odds"].to_numpy(float)[order], min(float(table["clean"].sum()) / n0 / 100, 0.5)
 
 
 def _measure(hashes: np.ndarray, scores: np.ndarray, keep: list[str]):
