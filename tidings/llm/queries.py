@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidings.llm import (
     attention, bm25, hilbert, jaccard, lattice, lengths, outliers, segments, token_files,
+    weak,
 )
 from tidings.shared import new_path
 
@@ -44,6 +45,11 @@ def op2_token_files(spark, sf_dir):
     return token_files.digest(spark, path)
 
 
+@query
+def op4_weak_supervision(spark, sf_dir):
+    return weak.personal_data(table(spark, sf_dir, "documents"))
+
+
 #: Score from which a document is predicted to have label 1.
 LIKELY = 0.3
 
