@@ -226,7 +226,7 @@ def statistics(text):
 
 def test_quality_statistics_and_outliers(spark):
     rng = random.Random(8)
-    clean = [" ".join(rng.choice(["plain", "words", "of", "prose", "and", f"n{rng.random()}"])
+    clean = [" ".join(f"{rng.choice(['plain', 'words', 'prose'])}{rng.randint(0, 400)}"
                       for _ in range(rng.randint(60, 200))) for _ in range(150)]
     junk = [" ".join(f"###{rng.random()}$$$" for _ in range(100)) for _ in range(5)]
     texts = ODD + clean + junk + ["a\nb\na\n\nb\na", "x y z x y z q", "tail\n"]

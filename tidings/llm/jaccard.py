@@ -12,7 +12,8 @@ is what it has in slice j, a set at distance 1 - |part| / |document| from it.
   windows too, and documents near a boundary are replicated over it.
 * Recursion: in a region of several documents some become pivots; all others are measured against
   them. Linked documents fall into one component; regions that still hold several components recurse
-  with new pivots, and the triangle inequality over the first pivot's distances rules pairs out.
+  with new pivots. The triangle inequality over the first pivot's distances rules pairs out, and so do
+  parities: sets whose parities by hashed bit differ in d bits differ in at least d shingles.
 
 Nothing is estimated: every pair within the radius shares a region, and recursion ends when a region
 has one component or all its pairs are measured or ruled out.
@@ -29,7 +30,9 @@ from tidings.llm.words import mix, runs, shingle_sets, signed
 from tidings.shared import materialize
 
 #: Growth of the size windows; pivots of a region in the first and in later rounds.
-GROWTH, FIRST_PIVOTS, PIVOTS = 1.6, 1, 8
+GROWTH, FIRST_PIVOTS, PIVOTS = 1.6, 1, 256
+#: Words of 64 bits in the parities of a set.
+PARITY = [f"x{i}" for i in range(4)]
 
 
 @dataclass
@@ -92,24 +95,33 @@ def regions(shingles: np.ndarray, windows: Windows) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    bits = len(PARITY) * 64
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _describe(size: int, num: int, den: int):
     def run(batches):
         windows = Windows(num, den)
         for batch in batches:
             text = batch.column(1)
             for low, after, _, _ in runs(text, 1 << 19):
-                n, first, second, keys = [], [], [], []
+                n, first, second, keys, odd = [], [], [], [], []
                 for shingles in shingle_sets(text[low:after], size):
                     n.append(len(shingles))
                     first.append(mix(shingles).sum(dtype=np.uint64))
                     second.append(mix(shingles ^ np.uint64(0x589965CC75374CC3)).sum(dtype=np.uint64))
                     keys.append(regions(shingles, windows))
+                    odd.append(parities(shingles))
+                odd = np.array(odd)
                 bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[low:after], pa.array(np.array(n, np.int64)),
                      signed(np.array(first, np.uint64)), signed(np.array(second, np.uint64)),
+                     *[signed(np.ascontiguousarray(odd[:, i])) for i in range(len(PARITY))],
                      pa.ListArray.from_arrays(pa.array(bounds), signed(np.concatenate(keys)))],
-                    names=["doc_id", "n", "h1", "h2", "regions"])
+                    names=["doc_id", "n", "h1", "h2", *PARITY, "regions"])
     return run
 
 
@@ -177,7 +189,7 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
         with_comp = state if comp is None else state.join(
             comp.withColumnRenamed("component", "c"), "id", "left")
         c = F.col("id") if comp is None else F.coalesce("c", "id")
-        with_comp = with_comp.select("region", "id", "n", "d", c.alias("c"))
+        with_comp = with_comp.select("region", "id", "n", *PARITY, "d", c.alias("c"))
         sizes = with_comp.groupBy("region", "c").agg(F.count("*").alias("n_comp"))
         open_regions = sizes.groupBy("region").agg(
             F.count("*").alias("n_comps"),
@@ -190,9 +202,11 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
         pivots = (ranked.where(F.col("c") != F.col("main")) if step else ranked).withColumn(
             "rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
             "region", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("d").alias("d_p"),
-            F.col("c").alias("c_p"))
+            F.col("c").alias("c_p"), *[F.col(x).alias(f"{x}_p") for x in PARITY])
+        differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_p"))) for x in PARITY), F.lit(0))
         near = ((F.col("c") != F.col("c_p"))
                 & (den * F.least("n", "n_p") >= num * F.greatest("n", "n_p"))
+                & ((den + num) * differ <= (den - num) * (F.col("n") + F.col("n_p")))
                 & (F.col("d").isNull() | F.col("d_p").isNull()
                    | (F.abs(F.col("d") - F.col("d_p")) <= radius + 1e-9)))
         pairs = ranked.join(pivots, "region").where(near).select(
@@ -203,7 +217,8 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
         found = materialize(measured(pairs, texts, size), f"measured-{step}")
         new = found.where(link_condition(num, den)).select("a", "b")
         links = new if links is None else links.unionByName(new)
-        comp = materialize(components(links), f"components-{step}")
+        if comp is None or not new.isEmpty():
+            comp = materialize(components(links), f"components-{step}")
         # Pivots have met all of their region and leave it.
         rest = ranked.join(pivots.select("region", F.col("p").alias("id")), ["region", "id"],
                            "left_anti")
@@ -214,8 +229,8 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
             rest = (rest.join(by_pivot, "region")
                     .withColumns({"a": F.least("id", "p"), "b": F.greatest("id", "p")})
                     .join(known, ["a", "b"], "left")
-                    .select("region", "id", "n", F.col("known").alias("d")))
-        state = materialize(rest.select("region", "id", "n", "d"), f"rest-{step}")
+                    .select("region", "id", "n", *PARITY, F.col("known").alias("d")))
+        state = materialize(rest.select("region", "id", "n", *PARITY, "d"), f"rest-{step}")
         left = state.join(comp.withColumnRenamed("component", "c"), "id", "left").groupBy(
             "region").agg(F.min(F.coalesce("c", "id")).alias("low"),
                           F.max(F.coalesce("c", "id")).alias("high")).where("low < high")
@@ -238,18 +253,20 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     described = materialize(
         rows.mapInArrow(_describe(size, num, den), "doc_id bigint, n bigint, h1 bigint, h2 bigint, "
-                        "regions array<bigint>"), "shingles", compression="zstd")
+                        + "".join(f"{x} bigint, " for x in PARITY) + "regions array<bigint>"), "shingles", compression="zstd")
     # One row per class, by counts that combine before the shuffle.
     classes = materialize(described.where("n > 0").groupBy("h1", "h2", "n").agg(
         F.min("doc_id").alias("id")), "classes")
-    chosen = described.select("doc_id", "h1", "h2", "n", "regions").join(
+    chosen = described.select("doc_id", "h1", "h2", "n", *PARITY, "regions").join(
         classes.where("id is not null").select(F.col("id").alias("doc_id"), "h1", "h2"),
         ["doc_id", "h1", "h2"], "left_semi")
-    entries = chosen.select(F.explode("regions").alias("region"), F.col("doc_id").alias("id"), "n")
+    entries = chosen.select(F.explode("regions").alias("region"), F.col("doc_id").alias("id"), "n",
+                            *PARITY)
     within = Window.partitionBy("region")
     members = materialize(
         entries.withColumns({"low": F.min("id").over(within), "high": F.max("id").over(within)})
-        .where("low < high").select("region", "id", "n").distinct(), "members")
+        .where("low < high").select("region", "id", "n", *PARITY)
+        .dropDuplicates(["region", "id"]), "members")
     texts = materialize(
         rows.select(F.col("doc_id").alias("id"), "text").join(
             members.select("id").distinct(), "id", "left_semi")
