@@ -6,9 +6,10 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from tidings.plans import catalog, oracle
 
 TABLES = Path("/root/testdata/sf0.001")
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = catalog.queries(), oracle.oracle_sql()
 
 # Two whole runs each; checked on the larger tables by the contract, here on request.
 SLOW = {"daily_run", "run_summary"} if not os.environ.get("ALL_QUERIES") else set()
@@ -16,6 +17,7 @@ SLOW = {"daily_run", "run_summary"} if not os.environ.get("ALL_QUERIES") else se
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="no test tables")

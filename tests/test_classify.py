@@ -1,5 +1,4 @@
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +7,16 @@ from tidings import fixed_values as fv
 from tidings.operators import classify
 
 
-def model(text, rules, fallback):
-    for category, keywords in rules:
-        if any(re.search(r"\b" + re.escape(k), text, re.IGNORECASE) for k in keywords):
-            return category
-    return fallback
+def by_sql(texts, rules, fallback):
+    """The same categories by DuckDB."""
+    import duckdb
+
+    from tidings.plans.oracle import category
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (i INT, s VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(texts)))
+    return [c for c, in con.execute(
+        f"SELECT {category('s', rules, fallback)} FROM t ORDER BY i").fetchall()]
 
 
 def categories(spark, texts, rules=fv.CATEGORY_RULES, fallback=fv.FALLBACK_CATEGORY):
@@ -21,16 +25,15 @@ def categories(spark, texts, rules=fv.CATEGORY_RULES, fallback=fv.FALLBACK_CATEG
     return [r.category for r in found.orderBy("i").collect()]
 
 
-EDGES = ["agent", "xagent", "éagent", "éagent", "²agent", "_agent", "-agent", "(Agent)",
-         "AGENTIC", "storage", "a Kafka x", "STREAMING", "ſtreaming", "pıpeline",
-         "digit git", "model catalog", "genie agent", "ai/bi", "fine-tuning", "٣agent", "中agent",
-         "agent\ngit", "token\nagent", "", "𝐚agent", "😀agent", "𝟙git",
-         "x" * 5000 + " agent"]
+AI, OTHER = "Artificial Intelligence", fv.FALLBACK_CATEGORY
+EDGES = [("agent", AI), ("xagent", OTHER), ("éagent", OTHER), ("²agent", OTHER), ("_agent", OTHER),
+         ("-agent", AI), ("(Agent)", AI), ("AGENTIC", AI), ("中agent", OTHER), ("٣agent", OTHER),
+         ("token\nagent", "Governance"), ("", OTHER), ("𝐚agent", OTHER), ("😀agent", AI),
+         ("x" * 5000 + " agent", AI), ("x" * 5000 + "agent", OTHER)]
 
 
 def test_word_starts_and_case(spark):
-    want = [model(t, fv.CATEGORY_RULES, fv.FALLBACK_CATEGORY) for t in EDGES]
-    assert categories(spark, EDGES) == want
+    assert categories(spark, [t for t, _ in EDGES]) == [c for _, c in EDGES]
 
 
 def test_every_keyword_and_mixtures(spark):
@@ -39,8 +42,7 @@ def test_every_keyword_and_mixtures(spark):
     glue = [" ", "x", "é", "-", "_", "\n", ", "]
     texts = keywords + ["".join(rng.choice(glue) + rng.choice(keywords)[:rng.randrange(2, 30)]
                                 for _ in range(rng.randrange(1, 6))) for _ in range(1500)]
-    want = [model(t, fv.CATEGORY_RULES, fv.FALLBACK_CATEGORY) for t in texts]
-    assert categories(spark, texts) == want
+    assert categories(spark, texts) == by_sql(texts, fv.CATEGORY_RULES, fv.FALLBACK_CATEGORY)
 
 
 def test_hint_wins_and_unknown_hint_does_not(spark):
@@ -56,18 +58,27 @@ def test_no_rules(spark):
     assert categories(spark, ["agent"], rules=[("A", [])], fallback="F") == ["F"]
 
 
-@pytest.mark.parametrize("bound", [0, 2000])
-def test_rule_table_compiled_and_joined_agree(spark, bound):
-    """Above the bound the table is joined; both ways equal the model."""
+@pytest.mark.parametrize("per_pattern", [0, 1, 4, 2000])
+def test_rule_table_compiled_and_joined_agree(spark, per_pattern):
+    """However the table is cut into patterns, and joined (0), the result is the same."""
     rules = [("B", ["the", "theme park", "ing"]), ("A", ["stream", "par"]), ("C", ["ein", "k"])]
     rows = [(p, c, k) for p, (c, ks) in enumerate(rules) for k in ks]
-    table = spark.createDataFrame(rows, "priority int, category string, keyword string")
-    texts = ["theme park", "xthe", "stream\nthe", "park", "eins", "Kite", "none", "", "a-ing",
+    table = spark.createDataFrame([*rows, (0, "N", None), (0, "E", "")],
+                                  "priority int, category string, keyword string")
+    texts = ["theme park", "xthe", "stream\nthe", "park", "eins", "Kite", "none", "", "a-ing",
              "the" * 50 + " stream"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
-    found = classify.with_table_category(df, "i", "s", table, "F", max_compiled=bound)
+    found = (classify.with_table_category(df, "i", "s", table, "F", per_pattern) if per_pattern
+             else classify.with_joined_category(df, "i", "s", table, "F"))
     got = [r.category for r in found.orderBy("i").collect()]
-    assert got == [model(t, rules, "F") for t in texts]
+    assert got == ["B", "F", "B", "A", "C", "C", "F", "F", "B", "B"]
+
+
+def test_a_table_too_long_to_compile_is_refused(spark):
+    table = spark.createDataFrame([(0, "A", "a"), (0, "A", "b")],
+                                  "priority int, category string, keyword string")
+    with pytest.raises(ValueError):
+        classify.with_table_category(table, "category", "keyword", table, max_compiled=1)
 
 
 def test_one_search_per_text(spark, plan_of):

@@ -95,3 +95,16 @@ def test_last_day(spark):
     df = spark.createDataFrame([(2024, 2), (2023, 2), (2026, 12)], "y int, m int")
     got = [r[0] for r in df.select(dates.last_day_iso(F.col("y"), F.col("m"))).collect()]
     assert got == ["2024-02-29", "2023-02-28", "2026-12-31"]
+
+
+@pytest.mark.parametrize(("stamp", "want"), [
+    ("2026-07-03T10:11:12 garbage", None), ("20260703", "Fri, 03 Jul 2026 00:00:00 +0000"),
+    ("20260703T101112Z", "Fri, 03 Jul 2026 10:11:12 +0000"), ("2026-07", None),
+    ("2026-03-08T02:30:00", "Sun, 08 Mar 2026 02:30:00 +0000"), ("2026-02-30", None)])
+def test_published_stamps_in_a_zone_with_a_gap(spark, stamp, want):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert one(spark, stamp, dates.rfc2822) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

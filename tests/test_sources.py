@@ -164,3 +164,35 @@ def test_incremental_runs_merge_each_file_once(spark, tmp_path):
         "https://example.com/3": "2026-07-11"}
     assert [r.fetched[fv.SOURCE_BLOG] for r in store.runs(spark).orderBy("batch").collect()] == [
         2, 2]
+
+
+def test_rss_as_feeds_are(spark, tmp_path):
+    """Permalink guids, content:encoded, dc:date; a guid that is no permalink is no link."""
+    from tidings.sources.feeds import scan_rss
+    (tmp_path / "feed.xml").write_text("""<rss xmlns:content="c" xmlns:dc="d"><channel>
+<item><title>A</title><guid>https://e/a</guid><content:encoded>&lt;p&gt;x&lt;/p&gt;</content:encoded>
+<dc:date>2026-07-03T23:30:00-02:00</dc:date></item>
+<item><title>B</title><guid isPermaLink="false">17</guid></item>
+<item><title>C</title><guid isPermaLink="true">https://e/no</guid><link>https://e/c</link>
+<description>d</description><content:encoded>e</content:encoded></item>
+</channel></rss>""", encoding="utf-8")
+    got = scan_rss(spark, str(tmp_path / "feed.xml")).orderBy("pos").collect()
+    assert [(r.title, r.url, r.published, r.summary) for r in got] == [
+        ("A", "https://e/a", "2026-07-04", "<p>x</p>"), ("C", "https://e/c", None, "d")]
+
+
+def test_listing_pages_that_are_no_listing(spark, tmp_path):
+    from tidings.sources.listings import scan_repo_listing
+    for name, text in {"a.json": '[{"full_name": "x/y", "fork": false}]',
+                       "b.json": '{"message": "rate limit"}', "c.json": '[{"full_na'}.items():
+        (tmp_path / name).write_text(text)
+    assert [r.full_name for r in scan_repo_listing(spark, str(tmp_path / "*.json")).collect()] == ["x/y"]
+
+
+def test_pages_below_a_folder_of_the_same_name(spark, tmp_path):
+    from tidings.sources.pages import scan_pages
+    folder = tmp_path / "notes" / "in" / "notes"
+    (folder / "aws").mkdir(parents=True)
+    (folder / "aws" / "may.html").write_text("<p>")
+    assert [r.url for r in scan_pages(spark, str(folder), "notes", "https://b").collect()] == [
+        "https://b/aws/may"]

@@ -143,13 +143,19 @@ def test_json_interchange(spark, tmp_path):
             for n in ("x", "y", "z")]
     path = tmp_path / "items.json"
     path.write_text(json.dumps(rows, indent=2, ensure_ascii=False), encoding="utf-8")
-    items = st.read_items_json(spark, str(path))
+    items = st.read_items_json(spark, str(path), arrays=True)
     assert [r.id for r in items.orderBy("pos").collect()] == ["x", "y", "z"]
     out = str(tmp_path / "out")
     st.write_items_json(items, out)
     text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("*.json"))
     assert "é…" in text
     assert spark.read.schema(ITEM).json(out).count() == 3
+    back = st.read_items_json(spark, out).select(*names).orderBy("id").collect()
+    assert back == items.select(*names).orderBy("id").collect()
+    none = items.withColumn("category", F.lit(None).cast("string"))
+    st.write_items_json(none, str(tmp_path / "none"))
+    assert all('"category":null' in line for p in (tmp_path / "none").glob("*.json")
+               for line in p.read_text(encoding="utf-8").splitlines())
     assert st.read_items_json(spark, str(tmp_path / "absent.json")).count() == 0
 
     seen = tmp_path / "seen.json"

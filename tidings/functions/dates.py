@@ -108,22 +108,26 @@ def feed_date(stamp: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd")
 
 
-_FULL_DATE = r"^\d{4}-\d{2}-\d{2}(?:$|.\d{2}(?::\d{2}(?::\d{2})?)?)"
+_FULL_DATE = (r"^\d{4}-?\d{2}-?\d{2}(?:$|.\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?"
+              r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?$)")
 
 
 def rfc2822(stamp: Column) -> Column:
-    """ISO date or datetime -> RFC 2822 text, null when it is not a full ISO date.
+    """ISO date or datetime, in extended or basic form -> RFC 2822 text; null if it is neither.
 
-    An offset is replaced by UTC, not converted: only the first 19 characters are read.
+    An offset is replaced by UTC, not converted, and the clock is read without a time zone.
     """
-    day = F.try_to_timestamp(F.substring(stamp, 1, 10), F.lit("yyyy-MM-dd"))
-    clock = F.rpad(F.regexp_extract(stamp, r"^.{10}.(\d{2}(?::\d{2}){0,2})", 1), 8, ":00:00")
-    whole = F.try_to_timestamp(
-        F.concat(F.substring(stamp, 1, 10), F.lit(" "), F.substring(clock, 1, 8)),
-        F.lit("yyyy-MM-dd HH:mm:ss"))
-    instant = F.when(F.length(stamp) == 10, day).otherwise(whole)
-    return F.when(stamp.rlike(_FULL_DATE),
-                  F.date_format(instant, "EEE, dd MMM yyyy HH:mm:ss '+0000'"))
+    parts = r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2}))?(?::?(\d{2}))?)?"
+
+    def part(group: int) -> Column:
+        return F.coalesce(blank_to_null(F.regexp_extract(stamp, parts, group)), F.lit("00"))
+
+    text = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "),
+                    part(4), F.lit(":"), part(5), F.lit(":"), part(6))
+    instant = text.try_cast("timestamp_ntz")
+    return F.when(stamp.rlike(_FULL_DATE), F.concat(
+        F.date_format(instant.cast("date"), "EEE, dd MMM yyyy "),
+        F.substring(instant.cast("string"), 12, 8), F.lit(" +0000")))
 
 
 def iso_date(text: Column) -> Column:

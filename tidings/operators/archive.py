@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidings.functions.dates import month_bucket
+from tidings.functions.dates import month_bucket, sort_key
 from tidings.operators.dedupe import last_value_first_place
 from tidings.schema import ORDER_COLUMNS
 
@@ -22,6 +22,22 @@ def touched_months(archive: DataFrame, incoming: DataFrame) -> DataFrame:
     return archive.join(months, "month", "left_semi")
 
 
+def changed(archive: DataFrame, incoming: DataFrame,
+            order: list[str] = ORDER_COLUMNS) -> DataFrame:
+    """Incoming rows that the archive doesn't hold already, equal but for their place.
+
+    A source that sends its whole history again then touches no month. Only the months of
+    `incoming` are read.
+    """
+    held = touched_months(archive, incoming).alias("held")
+    same = [F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}"))
+            for c in archive.columns if c not in order and c not in ("month", "id")]
+    match = (F.col("new.month") == F.col("held.month")) & (F.col("new.id") == F.col("held.id"))
+    for test in same:
+        match = match & test
+    return incoming.alias("new").join(held, match, "left_anti")
+
+
 def upsert(archive: DataFrame, incoming: DataFrame,
            order: list[str] = ORDER_COLUMNS) -> DataFrame:
     """Archive rows overwritten and extended by `incoming`, per (month, id).
@@ -61,4 +77,5 @@ def manifest(archive: DataFrame) -> DataFrame:
 
 def month_items(archive: DataFrame, month: str) -> DataFrame:
     """The items of one month, newest first; prunes to one partition."""
-    return archive.where(F.col("month") == month)
+    return archive.where(F.col("month") == month).orderBy(
+        F.desc(sort_key(F.col("published"), F.col("first_seen"))), *ORDER_COLUMNS)

@@ -8,8 +8,10 @@ from tidings import fixed_values as fv
 
 Rules = list[tuple[str, list[str]]]
 
-#: A rule table up to this size is compiled into patterns; a longer one is joined.
-MAX_COMPILED_KEYWORDS = 2000
+#: Keywords of one pattern; a longer table becomes several, tried in order of priority.
+PATTERN_KEYWORDS = 2_000
+#: Keywords of a table that is compiled. A longer one is refused: `with_joined_category` is for it.
+MAX_COMPILED_KEYWORDS = 100_000
 
 
 def item_text(title: Column, summary: Column) -> Column:
@@ -86,24 +88,41 @@ def hint_category(hint: Column, hints: dict[str, str] = fv.REPO_CATEGORY_HINTS)
     return F.element_at(F.create_map(*pairs), hint)
 
 
+def usable(rules: DataFrame) -> DataFrame:
+    """The rules whose keyword is neither null nor empty."""
+    return rules.where(F.coalesce(F.col("keyword"), F.lit("")) != "")
+
+
 def with_table_category(items: DataFrame, key: str, text: str, rules: DataFrame,
                         fallback: str = fv.FALLBACK_CATEGORY,
+                        per_pattern: int = PATTERN_KEYWORDS,
                         max_compiled: int = MAX_COMPILED_KEYWORDS) -> DataFrame:
-    """Add `category` by a rule table (priority, category, keyword).
+    """Add `category` by a rule table (priority, category, keyword), compiled into patterns.
 
-    The table is a parameter, read up to `max_compiled` rows plus one. If that is all of it, it
-    becomes patterns and costs no join. A longer table goes through `with_joined_category`, which
-    gives the same result whatever its size. `key` identifies a row of `items`.
+    The table is a parameter: up to `max_compiled` rows of it are read, and more are an error. It
+    is cut by priority into patterns of `per_pattern` keywords; the first one with a hit decides,
+    so the result doesn't depend on the cut. `key` identifies a row of `items`. Rules without a
+    keyword are left out.
     """
-    head = (rules.orderBy("priority", "category", "keyword")
+    head = (usable(rules).orderBy("priority", "category", "keyword")
             .select("priority", "category", "keyword").limit(max_compiled + 1).collect())
     if len(head) > max_compiled:
-        return with_joined_category(items, key, text, rules, fallback)
-    ordered: dict[tuple[int, str], list[str]] = {}
-    for row in head:
-        ordered.setdefault((row["priority"], row["category"]), []).append(row["keyword"])
-    compiled = [(category, keywords) for (_, category), keywords in ordered.items()]
-    return with_category(items, F.col(text), rules=compiled, fallback=fallback)
+        raise ValueError(f"over {max_compiled} keywords: use with_joined_category")
+    staged, found = items, []
+    for low in range(0, len(head), per_pattern):
+        ordered: dict[tuple[int, str], list[str]] = {}
+        for row in head[low:low + per_pattern]:
+            ordered.setdefault((row["priority"], row["category"]), []).append(row["keyword"])
+        part = [(category, keywords) for (_, category), keywords in ordered.items()]
+        hits, before = f"__hits{low}", F.coalesce(*found, F.lit("")) if found else F.lit("")
+        staged = staged.withColumn(hits, F.when(before == "", keyword_hits(
+            F.col(text), [k for _, keywords in part for k in keywords])))
+        staged = staged.withColumn(f"__found{low}", F.when(
+            F.coalesce(F.col(hits), F.lit("")) != "", hit_category(F.col(hits), part, fallback)))
+        found.append(F.col(f"__found{low}"))
+    category = F.coalesce(*found, F.lit(fallback))
+    return staged.withColumn("category", category).drop(
+        *[c for low in range(0, len(head), per_pattern) for c in (f"__hits{low}", f"__found{low}")])
 
 
 def fold_case(text: Column) -> Column:
@@ -113,14 +132,17 @@ def fold_case(text: Column) -> Column:
 
 def with_joined_category(items: DataFrame, key: str, text: str, rules: DataFrame,
                          fallback: str = fv.FALLBACK_CATEGORY) -> DataFrame:
-    """`with_table_category` as an equi-join, for rule tables of any size.
+    """Categories by an equi-join, for rule tables of any size.
+
+    Letters are compared in lower case (`fold_case`), so the few that only ignoring case equates,
+    such as the micro sign and Greek mu or a final sigma, differ from `with_table_category`.
 
     A keyword matches where the text at some word start begins with it. So each text yields, for
     each word start, its next characters, cut to each keyword length that occurs, and those are
     joined to the keywords by equality. Only (key, piece) rows travel, and the best priority is
     reduced on the map side.
     """
-    keywords = rules.select("priority", "category", fold_case(F.col("keyword")).alias("piece"))
+    keywords = usable(rules).select("priority", "category", fold_case(F.col("keyword")).alias("piece"))
     lengths = keywords.agg(F.sort_array(F.collect_set(F.length("piece"))).alias("lengths"))
     longest = keywords.agg(F.max(F.length("piece")).cast("string")).scalar()
     pattern = F.concat(F.lit(f"(?us){fv.WORD_START}(?=(.{{1,"), longest, F.lit("}))"))

@@ -91,11 +91,12 @@ def with_placement(items: DataFrame, as_of: str, max_items: int | None,
 
 def live_items(items: DataFrame, as_of: str, max_items: int | None, max_age_days: int | None,
                order: list[str] = ORDER_COLUMNS, top_rows: int = TOP_ROWS) -> DataFrame:
-    """Only the live side, in one pass when the cap is small enough for a top-n."""
+    """Only the live side, newest first, in one pass when the cap is small enough for a top-n."""
     if max_items and max_items <= top_rows:
         return newest(items.where(in_window(as_of, max_age_days)), max_items, order)
     placed = with_placement(items, as_of, max_items, max_age_days, order, top_rows)
-    return placed.where(F.col("placement") == LIVE).drop("placement")
+    return (placed.where(F.col("placement") == LIVE).drop("placement")
+            .orderBy(F.desc("sk"), *order))
 
 
 def archive_items(items: DataFrame, as_of: str, max_items: int | None, max_age_days: int | None,

@@ -26,7 +26,7 @@ LIVE_SINCE = "2024-01-08"         # older ones were archived
 EVENTS_AS_OF, EVENTS_AGE = "2024-02-01", 20
 ORDERS_AS_OF, ORDERS_AGE, ORDERS_CAP = "1999-06-30", 90, 60
 NOTES_AS_OF = "2000-02-10"
-FIRST_RUN, SECOND_RUN = "2001-06-30", "2001-07-15"
+FIRST_RUN, SECOND_RUN = "2001-06-30", "2001-08-01"     # the second fetches everything
 GENERATED_AT = "2026-07-30T06:00:00+00:00"
 
 ANCHOR = r"""(?is)<a[^>]*href=["']?([^"'>]+)["']?[^>]*>(.*?)</a>"""
@@ -581,7 +581,8 @@ def run_summary(spark, sf_dir):
 
 def two_runs(spark, sf_dir, target: store.Store) -> None:
     for as_of in (FIRST_RUN, SECOND_RUN):
-        fresh = daily.union_sources(table_sources(spark, sf_dir, as_of))
+        until = as_of if as_of == FIRST_RUN else None
+        fresh = daily.union_sources(table_sources(spark, sf_dir, until))
         daily.daily_run(spark, target, fresh, as_of)
 
 

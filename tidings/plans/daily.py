@@ -51,7 +51,7 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     for ordinal, frame in enumerate(sources.values()):
         placed = frame.select(
             *ITEM_COLUMNS,
-            F.concat(F.lit(f"{ordinal:02d}|"), F.col("origin")).alias("origin"), "pos")
+            F.concat(F.lit(f"{ordinal:06d}|"), F.col("origin")).alias("origin"), "pos")
         whole = placed if whole is None else whole.unionByName(placed)
     return whole
 
@@ -95,7 +95,8 @@ def daily_run(spark: SparkSession, store: Store, fresh: DataFrame, as_of: str,
         last = materialize(last_kept(merged, as_of, max_items, max_age_days), "last-kept")
     placed = ar.with_month(with_placement(merged, as_of, max_items, max_age_days, last=last))
 
-    outgoing = placed.where(F.col("placement") == ARCHIVE)
+    outgoing = materialize(
+        ar.changed(store.archive(spark), placed.where(F.col("placement") == ARCHIVE)), "outgoing")
     archived = ar.new_count(store.archive(spark), outgoing)
     summary = materialize(run_summary(existing, fresh, placed, archived), "summary")
 
@@ -134,7 +135,8 @@ def landed_sources(spark: SparkSession, landing: str, base_url: str, as_of: str,
 
     def notes():
         pages = scan_pages(spark, f"{landing}/notes", "notes", base_url)
-        return note_source(pages, pages, base_url, as_of)
+        index = pages.where(~F.col("url").rlike(fv.MONTH_PAGE_URL))
+        return note_source(index, pages, base_url, as_of)
 
     readers: dict[str, Callable[[], DataFrame]] = {
         fv.SOURCE_BLOG: blog, fv.SOURCE_RELEASES: releases, fv.SOURCE_NOTES: notes}

@@ -217,7 +217,7 @@ def three_sources(until: str | None = None) -> str:
 docs_in AS (
     SELECT {ident('url')} AS id, {BLOG[0]} AS source, {strip('title')} AS title, url,
            published, {category(strip('title') + " || ' ' || " + strip('summary'))} AS category,
-           coalesce({joined('tags')}, '') AS tags, '00|documents' AS origin, doc_id AS pos
+           coalesce({joined('tags')}, '') AS tags, '000000|documents' AS origin, doc_id AS pos
     FROM entries),
 page_texts AS (SELECT page_id, url, {plain('html')} AS full_text FROM pages),
 page_cut AS (SELECT page_id, url, {cut('full_text')} AS summary FROM page_texts),
@@ -225,10 +225,10 @@ pages_in AS (
     SELECT {ident('url')} AS id, '{fv.SOURCE_NOTES}' AS source, 'Page ' || page_id AS title, url,
            {NO_TEXT} AS published,
            {category("'Page ' || page_id || ' ' || summary")} AS category,
-           {APPROX} AS tags, '01|pages' AS origin, page_id AS pos FROM page_cut),
+           {APPROX} AS tags, '000001|pages' AS origin, page_id AS pos FROM page_cut),
 orders_in AS (
     SELECT id, source, title, url, published, category, {joined('tags')} AS tags,
-           '02|orders' AS origin, ord AS pos, first_seen AS fetched_on FROM order_items)"""
+           '000002|orders' AS origin, ord AS pos, first_seen AS fetched_on FROM order_items)"""
 
 
 def two_runs() -> str:
@@ -240,7 +240,8 @@ def two_runs() -> str:
         columns = "id, source, title, published, category, origin, pos"
         return f"""fetched{run} AS (
     SELECT {columns} FROM docs_in UNION ALL SELECT {columns} FROM pages_in
-    UNION ALL SELECT {columns} FROM orders_in WHERE coalesce(fetched_on, '') <= '{as_of}')"""
+    UNION ALL SELECT {columns} FROM orders_in
+    WHERE {run} = 2 OR coalesce(fetched_on, '') <= '{as_of}')"""
 
     def live(run: int, as_of: str) -> str:
         return f"""live{run} AS (

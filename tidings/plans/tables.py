@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidings import fixed_values as fv
 from tidings.functions.dates import sort_key
 from tidings.functions.text import url_id
-from tidings.sources.reading import spread
 
 SITE = "https://example.com"
 DAY = "yyyy-MM-dd"
@@ -28,8 +27,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are expensive to parse, spread over the cores if its files are few."""
-    return spread(table(spark, sf_dir, name))
+    """A table of texts; how it is split is left to `spark.sql.files.maxPartitionBytes`."""
+    return table(spark, sf_dir, name)
 
 
 def text_of(*parts):

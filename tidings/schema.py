@@ -48,6 +48,10 @@ RSS_ENTRY = T.StructType([
     T.StructField("link", _S),
     T.StructField("description", _S),
     T.StructField("pubDate", _S),
+    T.StructField("guid", T.StructType([
+        T.StructField("_VALUE", _S), T.StructField("_isPermaLink", _S)])),
+    T.StructField("content:encoded", _S),
+    T.StructField("dc:date", _S),
     T.StructField("category", T.ArrayType(_S)),
     T.StructField("_corrupt", _S),
 ])

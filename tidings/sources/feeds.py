@@ -47,17 +47,22 @@ def is_entry(title: Column, url: Column) -> Column:
 def scan_rss(spark: SparkSession, path: str) -> DataFrame:
     """RSS documents -> (title, url, published, summary, tags, origin, pos).
 
-    `published` is the UTC date of pubDate; `summary` is still the feed's own markup.
+    The link may be a permalink guid. `published` is the UTC date of pubDate, else of dc:date;
+    `summary` is the description, else content:encoded, still the feed's own markup.
     """
     return rss_entries(scan_xml(spark, path, "item", RSS_ENTRY))
 
 
 def rss_entries(records: DataFrame) -> DataFrame:
     tags = F.transform(F.coalesce("category", F.array().cast("array<string>")), strip)
+    permalink = F.when(F.lower(F.coalesce("guid._isPermaLink", F.lit("true"))) == "true",
+                       blank_to_null(strip(F.col("guid._VALUE"))))
+    url = F.coalesce(blank_to_null(strip(F.col("link"))), permalink)
     entries = records.select(
-        F.col("title"), strip(F.col("link")).alias("url"),
-        feed_date(F.col("pubDate")).alias("published"),
-        F.col("description").alias("summary"), tags.alias("tags"), "origin", "pos")
+        F.col("title"), url.alias("url"),
+        feed_date(F.coalesce("pubDate", "`dc:date`")).alias("published"),
+        F.coalesce(blank_to_null(F.col("description")), F.col("`content:encoded`"))
+        .alias("summary"), tags.alias("tags"), "origin", "pos")
     return entries.where(is_entry(F.col("title"), F.col("url")))
 
 

@@ -10,8 +10,8 @@ def scan_repo_listing(spark: SparkSession, path: str, multi_line: bool = True) -
     """Landed listing pages -> (full_name, origin, pos).
 
     A page is a JSON array of repositories, or JSON lines with `multi_line` off. All pages are
-    read at once. Archived repositories and forks are left out; a missing flag
-    counts as false.
+    read at once. Archived repositories, forks and what has no name (an error
+    object, a page cut short) are left out; a missing flag counts as false.
     """
     pages = read_or_empty(spark, path, REPO_LISTING, "json", multiLine=multi_line)
     return active_repos(pages.withColumn("origin", F.input_file_name())
@@ -20,7 +20,7 @@ def scan_repo_listing(spark: SparkSession, path: str, multi_line: bool = True) -
 
 def active_repos(listing: DataFrame) -> DataFrame:
     flagged = F.coalesce("archived", F.lit(False)) | F.coalesce("fork", F.lit(False))
-    return listing.where(~flagged).drop("archived", "fork")
+    return listing.where(F.col("full_name").isNotNull() & ~flagged).drop("archived", "fork")
 
 
 def repo_union(configured: DataFrame, discovered: DataFrame) -> DataFrame:

@@ -1,15 +1,20 @@
 """Landed HTML pages."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scan_pages(spark: SparkSession, path: str, root: str, base_url: str) -> DataFrame:
     """HTML files -> (url, html), one row per file.
 
-    Files mirror the site below the folder `root`: `<root>/a/b.html` is the page `<base_url>/a/b`.
+    Files mirror the site below the folder `root`, the last of this name in `path`:
+    `<root>/a/b.html` is the page `<base_url>/a/b`.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    folder = re.sub(r"^[a-z0-9]+:/*(?=/)", "", path)
+    folder = folder[:folder.rindex(f"/{root}") + len(root) + 1]
     place = F.regexp_extract(
-        F.url_decode("_metadata.file_path"), rf"/{root}(/.*?)(?:\.html?)?$", 1)
+        F.url_decode("_metadata.file_path"), rf"\Q{folder}\E(/.*?)(?:\.html?)?$", 1)
     return files.select(F.concat(F.lit(base_url.rstrip("/")), place).alias("url"),
                         F.col("value").alias("html"))

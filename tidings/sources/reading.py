@@ -24,13 +24,3 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType, fmt: str =
             return empty(spark, schema)
         raise
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer partitions than the session has cores.
-
-    A few small files, or files of one row group each, would be parsed on as many cores as there
-    are files. A table of any size has more partitions than cores and is left as it is, without
-    a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,8 +8,9 @@ from tidings.schema import ITEM_COLUMNS
 
 
 def write_site(items: DataFrame, path: str, generated_at: str) -> None:
-    """The published items as JSON lines, each stamped with `generated_at`."""
-    site_items(items.select(*ITEM_COLUMNS), generated_at).write.mode("overwrite").json(path)
+    """The published items as JSON lines, each stamped with `generated_at`; null fields as null."""
+    (site_items(items.select(*ITEM_COLUMNS), generated_at).write.mode("overwrite")
+     .option("ignoreNullFields", "false").json(path))
 
 
 def write_feed(items: DataFrame, path: str, limit: int = fv.FEED_ITEMS) -> None:

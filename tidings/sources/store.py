@@ -87,12 +87,13 @@ def write_archive(items: DataFrame, path: str) -> None:
 
 # --- JSON interchange ---------------------------------------------------------------------------
 
-def read_items_json(spark: SparkSession, path: str) -> DataFrame:
-    """Items from JSON documents that hold an array of them; missing = empty.
+def read_items_json(spark: SparkSession, path: str, arrays: bool = False) -> DataFrame:
+    """Items from JSON lines, as `write_items_json` leaves them, or, with `arrays`, from documents
+    that hold an array of items each; missing = empty.
 
     They get places (batch 0) in the order of appearance.
     """
-    items = read_or_empty(spark, path, ITEM, "json", multiLine=True)
+    items = read_or_empty(spark, path, ITEM, "json", multiLine=arrays)
     return items.select(
         "*", F.lit(0).cast("long").alias("batch"), F.input_file_name().alias("origin"),
         F.monotonically_increasing_id().alias("pos"))
@@ -106,8 +107,9 @@ def read_ledger_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_items_json(items: DataFrame, path: str) -> None:
-    """Items as JSON lines in UTF-8, non-ASCII characters as they are."""
-    items.select(*ITEM_COLUMNS).write.mode("overwrite").json(path)
+    """Items as JSON lines in UTF-8, non-ASCII characters as they are, null fields as null."""
+    (items.select(*ITEM_COLUMNS).write.mode("overwrite").option("ignoreNullFields", "false")
+     .json(path))
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "id") -> None:
