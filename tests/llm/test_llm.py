@@ -273,7 +273,8 @@ def test_maximal_segments():
         best = max(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))
         if best > 0:
             assert max(s for _, _, s in found) == pytest.approx(best)
-        for (a, b, s), after in zip(found, [*found[1:], (len(scores), 0, 0)], strict=True):
+        after_all = [*found, (len(scores), 0, 0)][1:]
+        for (a, b, s), after in zip(found, after_all, strict=True):
             assert b <= after[0] and s == pytest.approx(sum(scores[a:b]))
             assert all(sum(scores[a:k]) > 0 and sum(scores[k:b]) > 0 for k in range(a + 1, b))
         inside = {i for a, b, _ in found for i in range(a, b)}
