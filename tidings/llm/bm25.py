@@ -21,6 +21,8 @@ RETRIEVED, QUESTION, ANSWER = 0.4, 0.6, 0.6
 #: Items of one index, which goes to every task; more items make more indexes.
 INDEX_ITEMS = 5_000
 BLOCK_ITEMS = 16
+#: Postings that are scored at once.
+GROUP_ENTRIES = 1 << 19
 #: Part of an item's words, from its end, that counts as its answer.
 ANSWER_PART = 1 / 3
 
@@ -87,6 +89,13 @@ def build_index(rows: list[tuple]) -> Index | None:
                  int(max(32, lengths.max())))
 
 
+def spread_ranges(first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges first..after in a row, and the range that each is of."""
+    size = after - first
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (first - np.cumsum(size) + size)[of], of
+
+
 def retrieve(words: Words, index: Index, threshold: float):
     """(row, item, score) for the best passage of each row and item that reaches the threshold.
 
@@ -113,19 +122,29 @@ def retrieve(words: Words, index: Index, threshold: float):
         return []
     first = np.searchsorted(part, passage)
     after = np.searchsorted(part, np.where(follows[passage], passage + 2, passage + 1))
+    entry, of = spread_ranges(first, after)
+    key = np.unique(of * len(index.terms) + term[entry])        # a term counts once in a passage
+    of, term = key // len(index.terms), key % len(index.terms)
+    # Passages are scored in groups of bounded size.
+    n_items, n_blocks = len(index.ids), index.block_bound.shape[1]
+    postings = index.begin[term + 1] - index.begin[term]
+    weight = np.maximum(np.bincount(of, np.maximum(postings, n_blocks), len(passage)), n_items)
+    group = (np.cumsum(weight) // GROUP_ENTRIES).astype(np.int64)
+    group_begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     best: dict[tuple[int, int], float] = {}
-    for p, a, b in zip(passage, first, after, strict=True):
-        mine = np.unique(term[a:b])
-        blocks = np.flatnonzero(index.block_bound[mine].sum(0) >= threshold)
-        if not len(blocks):
-            continue
-        postings = np.concatenate([np.arange(index.begin[t], index.begin[t + 1]) for t in mine])
-        items = index.item[postings]
-        inside = np.isin(items // BLOCK_ITEMS, blocks)
-        score = np.bincount(items[inside], index.impact[postings[inside]])
-        for i in np.flatnonzero(score >= threshold):
-            pair = (int(row_of[p]), int(i))
-            best[pair] = max(best.get(pair, 0.0), float(score[i]))
+    for low, high in zip(group_begin, np.append(group_begin[1:], len(passage)), strict=True):
+        x, y = np.searchsorted(of, [low, high])
+        mine, at = term[x:y], of[x:y] - low
+        begins = np.searchsorted(at, np.arange(high - low))
+        open_blocks = np.add.reduceat(index.block_bound[mine], begins) >= threshold
+        some = open_blocks.any(1)[at]
+        posting, nth = spread_ranges(index.begin[mine[some]], index.begin[mine[some] + 1])
+        at, item = at[some][nth], index.item[posting]
+        inside = open_blocks[at, item // BLOCK_ITEMS]
+        score = np.bincount(at[inside] * n_items + item[inside], index.impact[posting[inside]])
+        for cell in np.flatnonzero(score >= threshold):
+            pair = (int(row_of[passage[low + cell // n_items]]), int(cell % n_items))
+            best[pair] = max(best.get(pair, 0.0), float(score[cell]))
     return [(row, i, s) for (row, i), s in best.items()]
 
 
