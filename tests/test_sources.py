@@ -162,8 +162,15 @@ def test_incremental_runs_merge_each_file_once(spark, tmp_path):
     assert {r.url: r.first_seen for r in store.live(spark).collect()} == {
         "https://example.com/1": "2026-07-10", "https://example.com/2": "2026-07-10",
         "https://example.com/3": "2026-07-11"}
-    assert [r.fetched[fv.SOURCE_BLOG] for r in store.runs(spark).orderBy("batch").collect()] == [
-        2, 2]
+    log = store.runs(spark).orderBy("batch").collect()
+    assert [r.fetched[fv.SOURCE_BLOG] for r in log] == [2, 2]
+    assert [r.stream_batch for r in log] == [0, 1]
+
+    # The run was logged, but the stream's own commit is lost: the batch comes again.
+    for name in ("1", ".1.crc"):
+        (tmp_path / "checkpoint/commits" / name).rename(tmp_path / f"lost{name}")
+    run("2026-07-12")
+    assert store.runs(spark).count() == 2
 
 
 def test_rss_as_feeds_are(spark, tmp_path):

@@ -75,9 +75,12 @@ def run_summary(existing: DataFrame, fresh: DataFrame, merged: DataFrame,
 
 def daily_run(spark: SparkSession, store: Store, fresh: DataFrame, as_of: str,
               max_items: int | None = fv.MAX_ITEMS,
-              max_age_days: int | None = fv.MAX_AGE_DAYS) -> DataFrame:
+              max_age_days: int | None = fv.MAX_AGE_DAYS,
+              stream: tuple[str, int] | None = None) -> DataFrame:
     """Merge one batch (items plus origin, pos) into the store; returns the run's summary row.
 
+    `stream` names the stream and its batch if the items come from one; the run log keeps both.
+
     The batch and the merged items are written to the shared folder once, because each has several
     readers and the stores they were computed from change below; the merged items are the batch
     plus the live items, never the archive. Order of the writes: archive, ledger, live, then the
@@ -97,16 +100,18 @@ def daily_run(spark: SparkSession, store: Store, fresh: DataFrame, as_of: str,
 
     outgoing = materialize(
         ar.changed(store.archive(spark), placed.where(F.col("placement") == ARCHIVE)), "outgoing")
-    archived = ar.new_count(store.archive(spark), outgoing)
+    archived = ar.new_count(ar.touched_months(store.archive(spark), outgoing), outgoing)
     summary = materialize(run_summary(existing, fresh, placed, archived), "summary")
 
     store.upsert_archive(outgoing)
     store.append_ledger(ledger_additions(placed))
     live_path = store.write_live(placed.where(F.col("placement") == LIVE), batch)
     store.write_manifest(spark)
+    name, number = stream or (None, None)
     store.append_run(summary.select(
         F.lit(batch).cast("long").alias("batch"), F.lit(as_of).alias("as_of"),
-        F.lit(live_path).alias("live_path"), "*"))
+        F.lit(live_path).alias("live_path"), F.lit(name).cast("string").alias("stream"),
+        F.lit(number).cast("long").alias("stream_batch"), "*"))
     return summary
 
 

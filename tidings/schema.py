@@ -38,6 +38,12 @@ LEDGER = T.StructType([T.StructField("id", _S), T.StructField("first_seen", _S)]
 
 ARCHIVED_ITEM = T.StructType(STORED_ITEM.fields + [T.StructField("month", _S)])
 
+#: An archived item with the version of its month; and a month of a finished version.
+VERSIONED_ITEM = T.StructType(
+    STORED_ITEM.fields + [T.StructField("version", _L), T.StructField("month", _S)])
+COMMIT = T.StructType([
+    T.StructField("version", _L), T.StructField("month", _S), T.StructField("count", _L)])
+
 MANIFEST = T.StructType([T.StructField("month", _S), T.StructField("count", _L)])
 
 PAGE = T.StructType([T.StructField("url", _S), T.StructField("html", _S)])
@@ -86,4 +92,6 @@ RUN = T.StructType([
     T.StructField("net_new", _L),
     T.StructField("outside_window", _L),
     T.StructField("newly_archived", _L),
+    T.StructField("stream", _S),
+    T.StructField("stream_batch", _L),
 ])

@@ -4,21 +4,30 @@ Layout below one root folder:
 
     live/<batch>/       items of one run; never rewritten
     ledger/             (id, first_seen), append only
-    archive/month=*/    items by month; a run rewrites only the months it touches
+    archive/            items by version and month; an upsert writes the months it touches anew,
+                        as one version, and leaves all earlier files as they are
+    commits/            (version, month, count) of every finished upsert, append only
     manifest/           item count per month, JSON
     runs/               one row per finished run, append only
 
 The run log is the commit record: readers take the live folder that the last finished run names.
 If a run dies half way, the log still points at the previous live folder, and running again gives
 the same result, because the archive upsert and the ledger append are idempotent.
+
+The archive has a commit record of its own: a month is what the last version that names it holds.
+The record of a version is one file, written after its months, so that readers see all of an
+upsert or nothing of it, and an upsert that died is written over by the next. One writer at a time
+is assumed. Versions that were replaced stay until someone deletes them.
 """
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidings.operators.archive import manifest, touched_months, upsert
-from tidings.schema import ARCHIVED_ITEM, ITEM, ITEM_COLUMNS, LEDGER, RUN, STORED_ITEM
+from tidings.operators.archive import touched_months, upsert
+from tidings.schema import (
+    ARCHIVED_ITEM, COMMIT, ITEM, ITEM_COLUMNS, LEDGER, RUN, STORED_ITEM, VERSIONED_ITEM,
+)
 from tidings.sources.reading import empty, read_or_empty
 
 
@@ -46,8 +55,27 @@ class Store:
     def ledger(self, spark: SparkSession) -> DataFrame:
         return read_or_empty(spark, self.path("ledger"), LEDGER)
 
+    def commits(self, spark: SparkSession) -> DataFrame:
+        return read_or_empty(spark, self.path("commits"), COMMIT)
+
+    def months(self, spark: SparkSession) -> DataFrame:
+        """(month, version, count) of the archive as of the last finished upsert."""
+        return self.commits(spark).groupBy("month").agg(
+            F.max_by("version", "version").alias("version"),
+            F.max_by("count", "version").alias("count"))
+
     def archive(self, spark: SparkSession) -> DataFrame:
-        return read_or_empty(spark, self.path("archive"), ARCHIVED_ITEM)
+        """The archive as of the last finished upsert.
+
+        The versions in force, one per calendar month, are looked up first, so that files of
+        others are pruned when the scan is planned.
+        """
+        current = [f"{r['version']}|{r['month'] or ''}" for r in self.months(spark).collect()]
+        if not current:
+            return empty(spark, ARCHIVED_ITEM)
+        files = spark.read.schema(VERSIONED_ITEM).parquet(self.path("archive"))
+        named = F.concat_ws("|", F.col("version").cast("string"), F.coalesce("month", F.lit("")))
+        return files.where(named.isin(current)).select(*ARCHIVED_ITEM.fieldNames())
 
     def write_live(self, items: DataFrame, batch: int) -> str:
         path = self.path(f"live/{batch:012d}")
@@ -60,29 +88,41 @@ class Store:
          .write.mode("append").parquet(self.path("ledger")))
 
     def upsert_archive(self, incoming: DataFrame) -> None:
-        """Merge `incoming` (with `month`) into its months; other months are not read or written.
-        """
-        archive = self.archive(incoming.sparkSession)
+        """Merge `incoming` (with `month`) into its months; other months are not read or written."""
+        spark = incoming.sparkSession
+        last = self.commits(spark).agg(F.max("version")).first()[0]
+        version = (last or 0) + 1
         incoming = incoming.select(*ARCHIVED_ITEM.fieldNames())
-        write_archive(upsert(touched_months(archive, incoming), incoming), self.path("archive"))
+        path = self.path(f"archive/version={version}")
+        write_archive(upsert(touched_months(self.archive(spark), incoming), incoming), path)
+        written = spark.read.schema(ARCHIVED_ITEM).parquet(path).groupBy("month").agg(
+            F.count("*").alias("count")).withColumn("version", F.lit(version).cast("long"))
+        (written.select(*COMMIT.fieldNames()).coalesce(1).write.mode("append")
+         .parquet(self.path("commits")))
 
     def write_manifest(self, spark: SparkSession) -> None:
-        counts = manifest(self.archive(spark))
+        """Counts per month, newest first, from the commit record: no archived item is read."""
+        counts = self.months(spark).select("month", "count").orderBy(F.desc("month"))
         counts.coalesce(1).write.mode("overwrite").json(self.path("manifest"))
 
+    def has_merged(self, spark: SparkSession, stream: str, stream_batch: int) -> bool:
+        """Whether a finished run has merged this batch of this stream."""
+        return not self.runs(spark).where(
+            (F.col("stream") == stream) & (F.col("stream_batch") == stream_batch)).isEmpty()
+
     def append_run(self, run: DataFrame) -> None:
         run.select(*RUN.fieldNames()).coalesce(1).write.mode("append").parquet(self.path("runs"))
 
 
 def write_archive(items: DataFrame, path: str) -> None:
-    """Write items by month, replacing only the months they belong to.
+    """Write items by month into a folder of their own.
 
     The rebalance hint gathers each month into as few files as its size calls for: small months
     get one file, and AQE splits a month that outgrows the advisory partition size instead of
     sending it through one task.
     """
     (items.hint("rebalance", "month").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path))
+     .option("partitionOverwriteMode", "static").partitionBy("month").parquet(path))
 
 
 # --- JSON interchange ---------------------------------------------------------------------------

@@ -1,8 +1,8 @@
 """Incremental runs: Structured Streaming keeps track of which landed files were merged.
 
 The run itself is the batch run; its state is the stores, so the stream needs no state of its own.
-A batch that is replayed after a failure changes nothing: its items are live or in the ledger by
-then, and the archive upsert writes the same rows again.
+The run log keeps the number of each merged batch, so a batch that is replayed although its run had
+finished is left out. One whose run had not finished is run again.
 """
 
 from collections.abc import Callable
@@ -23,9 +23,12 @@ def merge_new_files(records: DataFrame, to_items: Callable[[DataFrame], DataFram
     `records` is `feeds.read_records` on `spark.readStream`; `to_items` turns a batch of numbered
     records into items with (origin, pos). `checkpoint` is a folder that all executors share and that outlives the run.
     """
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
+        if store.has_merged(batch.sparkSession, checkpoint, number):
+            return
         fresh = union_sources({"landed": to_items(numbered(batch))})
-        daily_run(batch.sparkSession, store, fresh, as_of, max_items, max_age_days)
+        daily_run(batch.sparkSession, store, fresh, as_of, max_items, max_age_days,
+                  stream=(checkpoint, number))
 
     query = (records.writeStream.foreachBatch(run)
              .option("checkpointLocation", checkpoint)
