@@ -449,6 +449,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert ids(seen[4]) == ids(seen[3])
 
 
+def test_pipeline_decides_each_row_for_itself(spark, tmp_path):
+    """Ids that are missing, or shared by unrelated texts, neither lose a row nor save one."""
+    rng = random.Random(17)
+    prose = [" ".join(f"word{rng.randint(0, 5000)}" for _ in range(120)) for _ in range(84)]
+    item = " ".join(f"bench{i}" for i in range(30))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    at = lambda rows: spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    after = lambda stage, rows: Counter(
+        (r["doc_id"], r["text"]) for r in stage(spark, at(rows), str(tmp_path)).collect())
+    clean = [*enumerate(prose[:80]), (None, prose[80]), (None, prose[81]), (5, prose[82])]
+    assert after(corpus_pipeline.quality_rules, [*clean, (6, "short"), (None, "short")]) == Counter(clean)
+    copies = [(None, prose[80]), (90, prose[0] + " more"), (None, prose[1])]
+    assert after(corpus_pipeline.near_duplicates, [*copies, *clean]) == Counter(clean)
+    leaks = [(7, prose[83] + " " + item), (None, prose[7] + " " + item)]
+    assert after(corpus_pipeline.decontamination, [*leaks, *clean]) == Counter(clean)
+
+
 @pytest.mark.parametrize("texts", [[], ODD])
 def test_pipeline_edges(spark, tmp_path, texts):
     frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
