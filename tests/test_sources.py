@@ -173,6 +173,29 @@ def test_incremental_runs_merge_each_file_once(spark, tmp_path):
     assert store.runs(spark).count() == 2
 
 
+def test_a_new_checkpoint_under_an_old_path_is_a_new_stream(spark, tmp_path):
+    landing, store = tmp_path / "landing", Store(str(tmp_path / "store"))
+    checkpoint = tmp_path / "checkpoint"
+
+    def run(folder, as_of):
+        (tmp_path / folder).mkdir()
+        checkpoint.unlink(missing_ok=True)
+        checkpoint.symlink_to(tmp_path / folder)
+        records = feeds.read_records(spark.readStream, str(landing), "item", RSS_ENTRY)
+        merge_new_files(records, lambda batch: blog_items(feeds.rss_entries(batch), carry=PLACE),
+                        store, str(checkpoint), as_of)
+
+    put(landing, "a.xml", RSS)
+    run("first", "2026-07-10")
+    put(landing, "b.xml", RSS.replace("example.com/2", "example.com/3"))
+    run("second", "2026-07-11")
+    assert {r.url: r.first_seen for r in store.live(spark).collect()} == {
+        "https://example.com/1": "2026-07-10", "https://example.com/2": "2026-07-10",
+        "https://example.com/3": "2026-07-11"}
+    log = store.runs(spark).orderBy("batch").collect()
+    assert [r.stream_batch for r in log] == [0, 0] and log[0].stream != log[1].stream
+
+
 def test_rss_as_feeds_are(spark, tmp_path):
     """Permalink guids, content:encoded, dc:date; a guid that is no permalink is no link."""
     from tidings.sources.feeds import scan_rss
