@@ -381,6 +381,33 @@ def test_bm25_bounds_lose_nothing(spark):
     assert bm25.contaminated(docs, tests.where("false")).count() == 0
 
 
+def test_bm25_finds_items_of_one_and_two_words(spark):
+    rng = random.Random(18)
+    prose = [" ".join(f"v{rng.randint(0, 200)}" for _ in range(100)) for _ in range(4)]
+    texts = [prose[0] + " Zygote quark. " + prose[1], prose[1] + " quark of zygote", "xylem", prose[2]]
+    tests = spark.createDataFrame([(1, "zygote quark"), (2, "xylem"), (3, prose[3])],
+                                  "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in bm25.contaminated(frame(spark, texts), tests).collect()
+            } == {(0, 1), (2, 2)}
+
+
+def test_bm25_finds_edited_and_partial_items_however_the_index_is_split(spark):
+    rng = random.Random(19)
+    prose = lambda n: [f"v{rng.randint(0, 200)}" for _ in range(n)]
+    items = [prose(rng.randint(30, 60)) for _ in range(20)]
+    edited = [f"edit{i}" if i % 6 == 5 else w for i, w in enumerate(items[0])]
+    partial = items[1][:-(len(items[1]) // 3)]
+    texts = [" ".join([*prose(50), *part, *prose(50)]) for part in (edited, partial, [], [])]
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)],
+                                  "item_id bigint, text string")
+    docs = frame(spark, texts)
+    assert {(r["doc_id"], r["item_id"]) for r in bm25.contaminated(docs, tests).collect()} == {
+        (0, 0), (1, 1)}
+    scores = lambda size: {(r["doc_id"], r["item_id"]): r["score"] for r in bm25.retrieved(
+        docs, tests, threshold=0.1, index_items=size).collect()}
+    assert scores(7) == pytest.approx(scores(5_000))
+
+
 # --- lattice ------------------------------------------------------------------------------------
 
 def test_lattice_sums_all_segmentations():

@@ -12,12 +12,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidings.llm.words import NOT_ALNUM, Words, runs, windows
+from tidings.llm.words import NOT_ALNUM, Words, runs, signed
+from tidings.shared import materialize
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage has to reach; shares of the word triples of the item's
-#: question and answer that the document has to hold.
+#: question and answer that the document has to hold. Shorter items are held as pairs or single words.
 RETRIEVED, QUESTION, ANSWER = 0.4, 0.6, 0.6
+#: Share of the word triples of the whole item that is enough without regard to its parts, so that an
+#: edited item, or one without its answer, is found.
+WHOLE = 0.45
 #: Items of one index, which goes to every task; more items make more indexes.
 INDEX_ITEMS = 5_000
 BLOCK_ITEMS = 16
@@ -40,20 +44,37 @@ class Index:
     ids: list
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    size: list[int]                   # words of one hash of the item's parts
     passage: int                      # words of a passage
 
 
-def triples(words: Words, first: int, after: int) -> np.ndarray:
-    """Hashes of the word triples within words first..after (of the words, if there are fewer)."""
+def grams(words: Words, first: int, after: int, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words, one to three, within words first..after."""
     h = words.hash[first:after]
-    if len(h) < 3:
+    if len(h) < size:
+        return np.empty(0, np.uint64)
+    if size == 1:
         return np.unique(h)
+    if size == 2:
+        return np.unique(h[:-1] * np.uint64(3) + h[1:] * np.uint64(0x9E3779B97F4A7C15))
     return np.unique(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(0x9E3779B97F4A7C15)
                      + h[2:] * np.uint64(0xD6E8FEB86659FD93))
 
 
-def build_index(rows: list[tuple]) -> Index | None:
-    """From (item_id, text). Items without words can't be found and are left out."""
+@dataclass
+class Corpus:
+    """What all items have in common where they are split over indexes; `df` is by sorted `terms`."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build_index(rows: list[tuple], corpus: Corpus | None = None) -> Index | None:
+    """From (item_id, text). Items without words can't be found and are left out. Without a corpus
+    the items are all there are."""
     parsed = []
     for item_id, text in rows:
         for _, _, data, bounds in runs(pa.array([text], pa.string())):
@@ -69,24 +90,30 @@ def build_index(rows: list[tuple]) -> Index | None:
     terms, term = np.unique(np.concatenate([h for h, _ in counted]), return_inverse=True)
     tf = np.concatenate([c for _, c in counted]).astype(float)
     df = np.bincount(term)
-    idf = np.log1p((len(parsed) - df + 0.5) / (df + 0.5))
+    n, df_all, mean, longest = len(parsed), df, lengths.mean(), lengths.max()
+    if corpus:
+        n, mean, longest = corpus.items, corpus.mean, corpus.longest
+        df_all = corpus.df[np.searchsorted(corpus.terms, terms)]
+    idf = np.log1p((n - df_all + 0.5) / (df_all + 0.5))
     impact = idf[term] * tf * (K1 + 1) / (
-        tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        tf + K1 * (1 - B + B * lengths[item] / mean))
     impact /= np.bincount(item, impact)[item]
     order = np.lexsort((item, term))
     item, term, impact = item[order], term[order], impact[order]
     begin = np.concatenate([[0], np.cumsum(df)])
     block_bound = np.zeros((len(terms), (len(parsed) - 1) // BLOCK_ITEMS + 1), np.float32)
     np.maximum.at(block_bound, (term, item // BLOCK_ITEMS), impact.astype(np.float32) * 1.000001)
-    question, answer = [], []
+    question, answer, size = [], [], []
     for _, words in parsed:
         cut = len(words) - max(1, int(len(words) * ANSWER_PART)) if len(words) > 1 else 0
         # Each part reaches into the other by what a triple needs.
-        question.append(triples(words, 0, max(cut, min(3, len(words)))))
-        answer.append(triples(words, max(0, min(cut, len(words) - 3)), len(words)))
+        n = min(3, len(words))
+        size.append(n)
+        question.append(grams(words, 0, max(cut, n), n))
+        answer.append(grams(words, max(0, min(cut, len(words) - n)), len(words), n))
     return Index(terms, begin, item, impact, np.maximum.reduceat(impact, begin[:-1]) * 1.000001,
-                 block_bound, [i for i, _ in parsed], question, answer,
-                 int(max(32, lengths.max())))
+                 block_bound, [i for i, _ in parsed], question, answer, size,
+                 int(max(32, longest)))
 
 
 def spread_ranges(first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,23 +182,59 @@ def _search(index: Index, threshold: float):
                 words = Words(data, bounds, lower=True, between=NOT_ALNUM)
                 ids, out, held = batch.column(0)[low:after].to_pylist(), [], {}
                 for row, i, score in retrieve(words, index, threshold):
-                    if row not in held:
-                        held[row] = triples(words, words.first[row], words.first[row + 1])
-                    whole = held[row]
-                    shares = [float(np.isin(part[i], whole).mean())
-                              for part in (index.question, index.answer)]
+                    n = index.size[i]
+                    if (row, n) not in held:
+                        held[row, n] = grams(words, words.first[row], words.first[row + 1], n)
+                    whole = held[row, n]
+                    parts = index.question[i], index.answer[i]
+                    shares = [float(np.isin(part, whole).mean())
+                              for part in (*parts, np.union1d(*parts))]
                     out.append((ids[row], index.ids[i], score, *shares))
-                types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                types = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[k] for x in out], t) for k, t in enumerate(types)],
-                    names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
     return run
 
 
+def _terms(batches):
+    """Each term of a run of items, and how many of them hold it."""
+    for batch in batches:
+        for _, _, data, bounds in runs(batch.column(0)):
+            words = Words(data, bounds, lower=True, between=NOT_ALNUM)
+            once = np.unique(np.stack([words.hash, words.doc.astype(np.uint64)]), axis=1)[0]
+            hashes, df = np.unique(once, return_counts=True)
+            yield pa.RecordBatch.from_arrays([signed(hashes), pa.array(df.astype(np.int64))],
+                                             names=["hash", "df"])
+
+
+def _lengths(batches):
+    for batch in batches:
+        for _, _, data, bounds in runs(batch.column(0)):
+            words = Words(data, bounds, lower=True, between=NOT_ALNUM)
+            yield pa.RecordBatch.from_arrays([pa.array(words.count.astype(np.int64))], names=["n"])
+
+
+def corpora(items: DataFrame):
+    """A function from a part of the items to its corpus: the counts of all items, for its terms."""
+    n, mean, longest = items.select("text").mapInArrow(_lengths, "n bigint").where("n > 0").agg(
+        F.count("*"), F.avg("n"), F.max("n")).first()
+    counted = materialize(items.select("text").mapInArrow(_terms, "hash bigint, df bigint").groupBy(
+        "hash").agg(F.sum("df").alias("df")), "item-terms")
+
+    def of(part: DataFrame) -> Corpus:
+        mine = part.select("text").mapInArrow(_terms, "hash bigint, df bigint").select("hash").distinct()
+        table = counted.join(mine, "hash", "left_semi").toPandas()
+        terms = table["hash"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(terms)
+        return Corpus(n, mean, longest, terms[order], table["df"].to_numpy(np.int64)[order])
+    return of
+
+
 def retrieved(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVED,
               id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
               item_text_col: str = "text", index_items: int = INDEX_ITEMS) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of all pairs that reach the threshold.
+    """(doc_id, item_id, score, question_overlap, answer_overlap, overlap) of all pairs that reach the threshold.
 
     The index of at most about `index_items` items goes to every task; the documents are read once for
     each index and never shuffled. A null or empty text has no passages, an item without words is
@@ -182,11 +245,13 @@ def retrieved(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVED,
                           F.col(item_text_col).alias("text"))
     n = -(-wanted.count() // index_items)
     schema = ("doc_id bigint, item_id bigint, score double, question_overlap double, "
-              "answer_overlap double")
+              "answer_overlap double, overlap double")
+    corpus = corpora(wanted) if n > 1 else None
     found = None
     for k in range(n):
         part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        index = build_index([(r["item_id"], r["text"]) for r in part.collect()])
+        index = build_index([(r["item_id"], r["text"]) for r in part.collect()],
+                            corpus(part) if corpus else None)
         if index is not None:
             some = rows.mapInArrow(_search(index, threshold), schema)
             found = some if found is None else found.unionByName(some)
@@ -194,9 +259,11 @@ def retrieved(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVED,
 
 
 def is_leak() -> Column:
-    return (F.col("question_overlap") >= QUESTION) & (F.col("answer_overlap") >= ANSWER)
+    return ((F.col("question_overlap") >= QUESTION) & (F.col("answer_overlap") >= ANSWER)
+            | (F.col("overlap") >= WHOLE))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
-    """The retrieved pairs whose document holds both the item's question and its answer."""
+    """The retrieved pairs whose document holds both the item's question and its answer, or enough of
+    the whole item."""
     return retrieved(docs, items, **columns).where(is_leak())
