@@ -449,6 +449,15 @@ def test_lattice_scores(spark, head):
     assert lattice.lattice_scores(empty(spark), F.lit(False), PIECES).count() == 0
 
 
+def test_lattice_scores_of_very_long_texts(spark):
+    texts = ODD[10:12] + sample_texts(20, 5)
+    rows = lattice.lattice_scores(frame(spark, texts), F.col("doc_id") == 1, PIECES, head_words=0).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert (got[0]["n_tokens"], got[1]["n_tokens"], got[1]["n_known"]) == (30_001, 2, 1)
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
+    assert got[1]["score"] < got[2]["score"]
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
