@@ -6,14 +6,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidings.llm import (
-    attention, bm25, hilbert, jaccard, lattice, lengths, outliers, segments, token_files,
-    weak,
+    attention, bitsliced, bm25, hilbert, jaccard, lattice, lengths, line_dedup, outliers, resampling,
+    segments, token_files, weak,
 )
+from tidings.llm.sql import SQL  # noqa: F401  (read by the driver's entry)
 from tidings.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -98,3 +98,23 @@ def op10_toxic_segments(spark, sf_dir):
     return segments.toxicity_scores(docs, model).select(
         "doc_id", fold(4, 2).alias("held_out"), "score",
         (F.col("score") >= LIKELY).cast("int").alias("predicted"))
+
+
+@query
+def op11_bitsliced_search(spark, sf_dir):
+    path = new_path(spark, "bitsliced")
+    bitsliced.build_index(table(spark, sf_dir, "documents"), path)
+    return bitsliced.search(spark, path, table(spark, sf_dir, "benchmark"), k=50)
+
+
+@query
+def op12_crc_resampling(spark, sf_dir):
+    return resampling.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25)
+
+
+@query
+def op13_line_bitmaps(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
