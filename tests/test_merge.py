@@ -51,14 +51,12 @@ def test_merge_and_retention(spark, seed, cap, age):
     assert all(added[i] == AS_OF for i in added if i not in live_ids)
     assert set(ids) - live_ids <= set(seen) | set(added)
 
-    for top_rows in (100, 0):  # the cap by a top-n, and by range slices
-        live = retention.live_items(merged, AS_OF, cap, age, ORDER, top_rows).collect()
-        archived = {r.id for r in retention.archive_items(
-            merged, AS_OF, cap, age, ORDER, top_rows).collect()}
-        assert [r.id for r in live] == [i for i in ids if i not in archived]
-        oldest = {90: "2026-05-01", 1: "2026-07-29", 0: ""}[age]
-        inside = [r.id for r in rows if r.sk >= oldest]
-        assert [r.id for r in live] == (inside[:cap] if cap else inside)
+    live = retention.live_items(merged, AS_OF, cap, age, ORDER).collect()
+    archived = {r.id for r in retention.archive_items(merged, AS_OF, cap, age, ORDER).collect()}
+    assert [r.id for r in live] == [i for i in ids if i not in archived]
+    oldest = {90: "2026-05-01", 1: "2026-07-29", 0: ""}[age]
+    inside = [r.id for r in rows if r.sk >= oldest]
+    assert [r.id for r in live] == (inside[:cap] if cap else inside)
     merged.unpersist()
 
 
@@ -70,16 +68,29 @@ def test_retention_of_nothing(spark):
     assert {r.placement for r in placed.collect()} == {"archive"}
 
 
-@pytest.mark.parametrize("n", [1, 7, 100, 999, 1000, 5000])
-def test_nth_newest_by_slices_is_exact_when_one_date_dominates(spark, n):
-    rows = [(f"i{p}", "2026-07-30" if p % 3 else f"2026-01-{p % 28 + 1:02d}", None, "t", 0, p)
-            for p in range(1000)]
+@pytest.mark.parametrize("n", [1, 7, 334, 335, 999, 1000, 5000])
+def test_nth_newest_is_exact_when_one_date_dominates(spark, n):
+    # Places of all sizes: the upper, the middle and the lower bits of a number decide by turns.
+    places = [(p % 2) << 50 | (p % 7) << 25 | p - 500 for p in range(1000)]
+    rows = [(f"i{p}", "2026-07-30" if p % 3 else f"2026-01-{p % 28 + 1:02d}T0{p % 5}", None, "t", p % 2, x)
+            for p, x in enumerate(places)]
     items = retention.with_sort_key(spark.createDataFrame(rows, ITEMS))
-    order = sorted(rows, key=lambda r: r[5])
+    order = sorted(rows, key=lambda r: (r[4], r[5]))
     order.sort(key=lambda r: r[1], reverse=True)
     want = order[min(n, 1000) - 1]
-    got = retention.nth_newest(items, n, ORDER, top_rows=0).collect()
-    assert [(r.sk, r.place["pos"]) for r in got] == [(want[1], want[5])]
+    assert retention.nth_newest(items, n, ORDER) == (want[1], (want[4], want[5]))
+    places = retention.nth_newest(items, n, ["batch", "id"])       # a last column that is no number
+    order.sort(key=lambda r: (r[4], r[0]))
+    order.sort(key=lambda r: r[1], reverse=True)
+    want = order[min(n, 1000) - 1]
+    assert places == (want[1], (want[4], want[0]))
+
+
+def test_the_cap_sorts_no_items(spark, plan_of):
+    """The selection groups and sums; a row is placed by a predicate of literals."""
+    items = retention.with_sort_key(frame(spark, random_items(random.Random(3), 50, 0, True)))
+    plan = plan_of(retention.with_placement(items, AS_OF, 5, 90, ORDER))
+    assert not any(x in plan for x in ("Sort", "Window", "TakeOrdered", "Join", "Exchange"))
 
 
 def test_dedupe_limits_groups_before_the_shuffle(spark, tmp_path, plan_of):
@@ -134,9 +145,15 @@ def test_upsert_keeps_places_and_takes_the_last_value(spark):
     for item in archive + incoming:    # the last one written stands
         later = [i for i in incoming if (i["month"], i["id"]) == (item["month"], item["id"])]
         assert titles[item["month"], item["id"]] == (later[-1] if later else item)["title"]
-    same = ar.changed(frames[0], frames[0], ORDER)
-    assert same.count() == 0
-    assert ar.changed(frames[0].limit(0), frames[1], ORDER).count() == len(incoming)
+    index, batch = [ar.with_digest(x, ORDER) for x in frames]
+    assert ar.news(index, index).count() == 0
+    keys = {(i["month"], i["id"]) for i in incoming}
+    assert {tuple(r) for r in ar.news(index.limit(0), batch).collect()} == {(*k, False) for k in keys}
+    known = {(i["month"], i["id"]) for i in archive}
+    one = batch.dropDuplicates(["month", "id"])
+    assert {tuple(r) for r in ar.news(index, one).collect()} == {
+        (r.month, r.id, (r.month, r.id) in known) for r in one.collect()
+        if (r.month, r.id, r.digest) not in {(x.month, x.id, x.digest) for x in index.collect()}}
     places = {(i["month"], i["id"]): i["pos"] for i in archive}
     assert all(r.pos == places[r.month, r.id] for r in got if (r.month, r.id) in places)
     known = {(i["month"], i["id"]) for i in archive}
@@ -161,3 +178,12 @@ def test_latest_update_looks_at_the_full_set(spark):
     assert {r.id for r in narrowed.collect()} == {"c"}
     ranged = filter_source_date(items, None, "2026-07-02", "2026-07-30")
     assert {r.id for r in ranged.collect()} == {"b", "c"}
+
+
+def test_digests_tell_missing_values_and_lists_apart(spark):
+    rows = [("a", None, ["x", "y"], []), (None, "a", ["x", "y"], []), ("a", "", ["x", "y"], []),
+            ("a", None, ["x"], ["y"]), ("a", None, [], ["x", "y"]), ("a", None, None, ["x", "y"]),
+            ("a", None, ["x", None], []), ("a", None, [None, "x"], []), ("a", None, ["xy"], [])]
+    items = spark.createDataFrame(rows, "p string, q string, t array<string>, u array<string>")
+    digests = [r[0] for r in items.select(ar.content_digest(items, items.columns)).collect()]
+    assert len(set(digests)) == len(rows)

@@ -1,6 +1,7 @@
 """The month-partitioned archive."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
 from tidings.functions.dates import month_bucket, sort_key
 from tidings.operators.dedupe import last_value_first_place
@@ -22,28 +23,44 @@ def touched_months(archive: DataFrame, incoming: DataFrame) -> DataFrame:
     return archive.join(months, "month", "left_semi")
 
 
-def changed(archive: DataFrame, incoming: DataFrame,
-            order: list[str] = ORDER_COLUMNS) -> DataFrame:
-    """Incoming rows that the archive doesn't hold already, equal but for their place.
+def content_digest(items: DataFrame, columns: list[str]) -> Column:
+    """A 64-bit digest of some columns. Missing values count, and where a list has them."""
+    parts = []
+    for c in columns:
+        is_list = isinstance(items.schema[c].dataType, ArrayType)
+        parts += [F.to_json(c) if is_list else F.col(c), F.col(c).isNull()]
+    return F.xxhash64(*parts)
 
-    A source that sends its whole history again then touches no month. Only the months of
-    `incoming` are read.
+
+def with_digest(items: DataFrame, order: list[str] = ORDER_COLUMNS) -> DataFrame:
+    """Add `digest`, of all that an archived item is but its key and its place."""
+    content = [c for c in items.columns if c not in (*order, "month", "id", "digest")]
+    return items.withColumn("digest", content_digest(items, content))
+
+
+def news(index: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(month, id, held): what `incoming` would change in the archive, and whether it is there already.
+
+    `index` is (month, id, digest) of the archive, `incoming` carries a digest. Only these three columns of
+    either side are read and joined, and of the index only the months of `incoming`: a source that sends its
+    whole history again costs a narrow scan, and no text travels. An archived item without a digest counts as
+    changed.
     """
-    held = touched_months(archive, incoming).alias("held")
-    same = [F.col(f"new.{c}").eqNullSafe(F.col(f"held.{c}"))
-            for c in archive.columns if c not in order and c not in ("month", "id")]
-    match = (F.col("new.month") == F.col("held.month")) & (F.col("new.id") == F.col("held.id"))
-    for test in same:
-        match = match & test
-    return incoming.alias("new").join(held, match, "left_anti")
+    batch = incoming.select("month", "id", "digest")
+    held = touched_months(index, batch).select(
+        "month", "id", F.col("digest").alias("__digest"), F.lit(True).alias("held"))
+    both = batch.join(held, ["month", "id"], "left")
+    return both.where(~F.col("digest").eqNullSafe(F.col("__digest"))).select(
+        "month", "id", F.coalesce("held", F.lit(False)).alias("held")).distinct()
 
 
-def upsert(archive: DataFrame, incoming: DataFrame,
-           order: list[str] = ORDER_COLUMNS) -> DataFrame:
+def upsert(archive: DataFrame, incoming: DataFrame, order: list[str] = ORDER_COLUMNS,
+           index: DataFrame | None = None) -> DataFrame:
     """Archive rows overwritten and extended by `incoming`, per (month, id).
 
     Both frames have the same columns; `archive` has one row per (month, id), as this function
-    leaves it. An overwritten row keeps its place in the month.
+    leaves it. An overwritten row keeps its place in the month. `index` has the archive's keys and places,
+    if they can be had without the archive.
 
     The archive is only filtered by the batch's keys, and its places are looked up in a second,
     narrow scan. So with a batch that Spark can broadcast no archived row is shuffled or sorted;
@@ -53,7 +70,7 @@ def upsert(archive: DataFrame, incoming: DataFrame,
     keys = ["month", "id"]
     batch = last_value_first_place(incoming, keys, order)
     untouched = archive.join(batch.select(*keys), keys, "left_anti")
-    places = (archive.join(batch.select(*keys), keys, "left_semi")
+    places = ((archive if index is None else index).join(batch.select(*keys), keys, "left_semi")
               .select(*keys, F.struct(*order).alias("__place")))
     replaced = batch.join(places, keys, "left")
     placed = [F.coalesce(F.col("__place")[c], F.col(c)).alias(c) for c in order]

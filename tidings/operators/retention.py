@@ -2,9 +2,16 @@
 
 The cap needs only one row, the last one that fits: with it, live and archive are two sides of a
 predicate. No anti join of the whole table, and the two sides cannot overlap or lose a row.
+
+That row is selected by counting, the same way whatever the cap: items per day, a running sum, and the same
+again within the day it ends in, by the rest of the key, until one row is left. No step sorts items, and a day
+or a document that holds most of them is counted like any other.
 """
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from tidings.functions.dates import cutoff, sort_key
 from tidings.schema import ORDER_COLUMNS
@@ -12,8 +19,14 @@ from tidings.shared import materialize
 
 LIVE, ARCHIVE = "live", "archive"
 
-#: Largest n for which the newest n rows may pass through one task.
-TOP_ROWS = 100_000
+#: A whole number is selected by its upper, middle and lower bits: (shift, mask).
+DIGITS = ((42, -1), (21, (1 << 21) - 1), (0, (1 << 21) - 1))
+
+
+class Edge(NamedTuple):
+    """The last item that is kept: its sort key and its place, in the order of the place's columns."""
+    sk: str
+    place: tuple
 
 
 def with_sort_key(items: DataFrame) -> DataFrame:
@@ -21,43 +34,56 @@ def with_sort_key(items: DataFrame) -> DataFrame:
 
 
 def newest(items: DataFrame, n: int, order: list[str] = ORDER_COLUMNS) -> DataFrame:
-    """The newest n items, newest first, ties in insertion order (a distributed top-n)."""
+    """The newest n items, newest first, ties in insertion order (a distributed top-n, for small n)."""
     return items.orderBy(F.desc("sk"), *order).limit(n)
 
 
-def _nth_by_top(keys: DataFrame, n: int) -> DataFrame:
-    top = keys.orderBy(F.desc("sk"), F.asc("place")).limit(n)
-    return top.orderBy(F.asc("sk"), F.desc("place")).limit(1)
+def _boundary(keys: DataFrame, n: int, groups: dict[str, Column], newest_first: set[str]):
+    """The group in which the n-th row lies, and how many rows of it are still to be counted.
+
+    `groups` are the columns to group by, in order of rank. Counts are combined before they are shuffled;
+    the running sum is over one row a group.
+    """
+    rank = [F.desc(c) if c in newest_first else F.asc(c) for c in groups]
+    counts = keys.groupBy(*[e.alias(c) for c, e in groups.items()]).agg(F.count("*").alias("__rows"))
+    upto = F.sum("__rows").over(Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0))
+    row = (counts.withColumn("__upto", upto).where(F.col("__upto") >= n)
+           .orderBy("__upto").limit(1).first())
+    return row, n - (row["__upto"] - row["__rows"])
 
 
-def _nth_by_slices(keys: DataFrame, n: int) -> DataFrame:
-    """The same row for any n: range-partition the keys, count the slices, rank in one of them.
+def nth_newest(items: DataFrame, n: int, order: list[str] = ORDER_COLUMNS) -> Edge | None:
+    """The n-th newest item, or the last one if there are fewer; None of no items.
 
-    `place` makes all keys distinct, so even if one date holds most rows the slices are even.
-    They are written out because a range partitioning is sampled anew on each evaluation.
+    One row a step comes to the driver. The steps: the day; the whole sort key with all columns of the place but
+    the last; the last one, a number, by its bits.
     """
-    spark = keys.sparkSession
-    slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 32)
-    sliced = materialize(
-        keys.repartitionByRange(slices, F.desc("sk"), F.asc("place"))
-        .withColumn("slice", F.spark_partition_id()), "slices")
-    sizes = sliced.groupBy("slice").agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.orderBy("slice")) - F.col("size")  # `slices` rows at most
-    wanted = (sizes.withColumn("before", before).where(F.col("before") < n)
-              .orderBy(F.desc("slice")).limit(1)
-              .select("slice", F.least(F.lit(n) - F.col("before"), "size").alias("rank")))
-    rank = F.row_number().over(
-        Window.partitionBy("slice").orderBy(F.desc("sk"), F.asc("place")))
-    inside = sliced.join(wanted.withColumnRenamed("rank", "__wanted"), "slice")
-    return inside.withColumn("__rank", rank).where(F.col("__rank") == F.col("__wanted"))
-
-
-def nth_newest(items: DataFrame, n: int, order: list[str] = ORDER_COLUMNS,
-               top_rows: int = TOP_ROWS) -> DataFrame:
-    """One row (sk, place): the n-th newest item, or the last one if there are fewer."""
-    keys = items.select("sk", F.struct(*order).alias("place"))
-    found = _nth_by_top(keys, n) if n <= top_rows else _nth_by_slices(keys, n)
-    return found.select("sk", "place")
+    keys = materialize(items.select("sk", *order), "keys")
+    n = min(n, keys.count())
+    if not n:
+        return None
+    found = {}
+
+    def step(rows, n, groups, newest_first=frozenset()):
+        row, n = _boundary(rows, n, groups, set(newest_first))
+        for c, e in groups.items():
+            found[c] = row[c]
+            rows = rows.where(e.eqNullSafe(F.lit(row[c])))
+        return rows, n
+
+    rows, n = step(keys, n, {"__day": F.substring("sk", 1, 10)}, {"__day"})
+    rows, n = step(rows, n, {c: F.col(c) for c in ("sk", *order[:-1])}, {"sk"})
+    last = order[-1]
+    if isinstance(keys.schema[last].dataType, IntegralType):
+        for i, (shift, mask) in enumerate(DIGITS):
+            digit = F.shiftright(F.col(last).cast("long"), shift).bitwiseAND(F.lit(mask).cast("long"))
+            rows, n = step(rows, n, {f"__digit{i}": digit})
+        parts = [None if found[f"__digit{i}"] is None else found[f"__digit{i}"] << shift
+                 for i, (shift, _) in enumerate(DIGITS)]
+        found[last] = None if parts[0] is None else sum(parts)
+    else:
+        step(rows, n, {last: F.col(last)})
+    return Edge(found["sk"], tuple(found[c] for c in order))
 
 
 def in_window(as_of: str, max_age_days: int | None) -> Column:
@@ -66,41 +92,48 @@ def in_window(as_of: str, max_age_days: int | None) -> Column:
 
 
 def last_kept(items: DataFrame, as_of: str, max_items: int, max_age_days: int | None,
-              order: list[str] = ORDER_COLUMNS, top_rows: int = TOP_ROWS) -> DataFrame:
-    """The last item (sk, place) that both the age test and the cap let through."""
-    return nth_newest(items.where(in_window(as_of, max_age_days)), max_items, order, top_rows)
+              order: list[str] = ORDER_COLUMNS) -> Edge | None:
+    """The last item that both the age test and the cap let through, None if there is none."""
+    return nth_newest(items.where(in_window(as_of, max_age_days)), max_items, order)
+
+
+_UNKNOWN = object()
 
 
 def with_placement(items: DataFrame, as_of: str, max_items: int | None,
                    max_age_days: int | None, order: list[str] = ORDER_COLUMNS,
-                   top_rows: int = TOP_ROWS, last: DataFrame | None = None) -> DataFrame:
+                   last: Edge | None = _UNKNOWN) -> DataFrame:
     """Add `placement`: live or archive. `items` carries `sk` and has one row per id.
 
-    `last` is the result of `last_kept` if the caller has it at hand.
+    With a cap, the last kept item is looked up at once, unless `last` is the result of `last_kept`.
     """
     stays = in_window(as_of, max_age_days)
     if max_items:
-        if last is None:
-            last = last_kept(items, as_of, max_items, max_age_days, order, top_rows)
-        edge = last.select(F.struct("sk", "place")).scalar()
-        fits = (F.col("sk") > edge["sk"]) | (
-            (F.col("sk") == edge["sk"]) & (F.struct(*order) <= edge["place"]))
-        stays = stays & F.coalesce(fits, F.lit(False))
+        if last is _UNKNOWN:
+            last = last_kept(items, as_of, max_items, max_age_days, order)
+        stays = stays & fits(items, last, order)
     return items.withColumn("placement", F.when(stays, F.lit(LIVE)).otherwise(F.lit(ARCHIVE)))
 
 
+def fits(items: DataFrame, last: Edge | None, order: list[str]) -> Column:
+    """Whether an item comes no later than the last one that is kept."""
+    if last is None:
+        return F.lit(False)
+    place = F.struct(*[F.lit(x).cast(items.schema[c].dataType).alias(c)
+                       for c, x in zip(order, last.place, strict=True)])
+    return (F.col("sk") > last.sk) | ((F.col("sk") == last.sk) & (F.struct(*order) <= place))
+
+
 def live_items(items: DataFrame, as_of: str, max_items: int | None, max_age_days: int | None,
-               order: list[str] = ORDER_COLUMNS, top_rows: int = TOP_ROWS) -> DataFrame:
-    """Only the live side, newest first, in one pass when the cap is small enough for a top-n."""
-    if max_items and max_items <= top_rows:
-        return newest(items.where(in_window(as_of, max_age_days)), max_items, order)
-    placed = with_placement(items, as_of, max_items, max_age_days, order, top_rows)
+               order: list[str] = ORDER_COLUMNS) -> DataFrame:
+    """Only the live side, newest first."""
+    placed = with_placement(items, as_of, max_items, max_age_days, order)
     return (placed.where(F.col("placement") == LIVE).drop("placement")
             .orderBy(F.desc("sk"), *order))
 
 
 def archive_items(items: DataFrame, as_of: str, max_items: int | None, max_age_days: int | None,
-                  order: list[str] = ORDER_COLUMNS, top_rows: int = TOP_ROWS) -> DataFrame:
+                  order: list[str] = ORDER_COLUMNS) -> DataFrame:
     """Only the archive side."""
-    placed = with_placement(items, as_of, max_items, max_age_days, order, top_rows)
+    placed = with_placement(items, as_of, max_items, max_age_days, order)
     return placed.where(F.col("placement") == ARCHIVE).drop("placement")

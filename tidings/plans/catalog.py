@@ -11,7 +11,7 @@ from tidings.operators import (
     archive as ar, classify, dedupe, extract, ledger, merge as mg, normalize, notes, publish,
     retention,
 )
-from tidings.plans import daily, tables as t
+from tidings.plans import daily, landed, tables as t
 from tidings.schema import ITEM, ITEM_COLUMNS, STORED_ITEM
 from tidings.shared import materialize, new_path
 from tidings.sources import feeds, listings, sinks, status, store
@@ -333,9 +333,9 @@ def retention_archive(spark, sf_dir):
 
 @query
 def retention_large_cap(spark, sf_dir):
-    """A cap beyond what one task should sort: the last kept row is found by range slices."""
+    """A cap of a third of the items, without an age test."""
     items = t.with_sk(t.order_items(spark, sf_dir)).select("id", "sk", "ord")
-    return retention.with_placement(items, ORDERS_AS_OF, 5000, None, ORD, top_rows=1000)
+    return retention.with_placement(items, ORDERS_AS_OF, 5000, None, ORD)
 
 
 @query
@@ -462,14 +462,8 @@ def store_roundtrip(spark, sf_dir):
 
 def landed_rss(spark, sf_dir) -> str:
     """Documents landed as RSS documents."""
-    stamp = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"),
-                                     (F.col("doc_id") % 200).cast("int")),
-                          "EEE, dd MMM yyyy '23:30:00 -0500'")
     path = new_path(spark, "rss")
-    (t.document_entries(spark, sf_dir).select(
-        "title", F.col("url").alias("link"), F.col("summary").alias("description"),
-        stamp.alias("pubDate"), F.col("tags").alias("category"))
-     .write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path))
+    (landed.rss_rows(spark, sf_dir).write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path))
     return path
 
 
@@ -515,7 +509,7 @@ def scan_repo_listing(spark, sf_dir):
         .alias("archived"),
         F.when(F.col("c_acctbal") < 0, F.lit(True)).alias("fork"))
      .write.json(path))
-    return listings.scan_repo_listing(spark, path, multi_line=False).select("full_name")
+    return listings.scan_repo_listing(spark, path).select("full_name")
 
 
 @query
@@ -566,6 +560,27 @@ def source_status(spark, sf_dir):
         "source", "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query
+def landed_run(spark, sf_dir):
+    """A whole landing folder, staged: its items, and what the faulty documents in it came to."""
+    found = daily.stage_sources(spark, landed.land(spark, sf_dir, NOTES_AS_OF), t.SITE, NOTES_AS_OF,
+                                landed.configured(spark), landed.LAYOUT)
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    items = found.items.select(
+        F.lit("item").alias("kind"), "source", F.col("id").alias("name"), "title", "published", "summary",
+        none.alias("records"), none.alias("unusable"))
+    # A page of the notes is as many documents as its writer made parts.
+    documents = (found.documents.where(~F.col("input").isin("notes")).groupBy("input", "status")
+                 .agg(F.sum("records").alias("records"), F.sum("unusable").alias("unusable"))
+                 .select(F.lit("document").alias("kind"), F.col("input").alias("source"),
+                         F.col("status").alias("name"), text.alias("title"), text.alias("published"),
+                         text.alias("summary"), "records", "unusable"))
+    sources = found.sources.select(
+        F.lit("source").alias("kind"), "source", F.col("status").alias("name"), F.col("detail").alias("title"),
+        text.alias("published"), text.alias("summary"), none.alias("records"), none.alias("unusable"))
+    return items.unionByName(documents).unionByName(sources)
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 @query

@@ -1,8 +1,9 @@
 """The daily run: extract, merge, archive, record."""
 
-from collections.abc import Callable
+from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidings import fixed_values as fv
 from tidings.operators import archive as ar
@@ -12,11 +13,15 @@ from tidings.operators.merge import merge
 from tidings.operators.normalize import blog_items, note_items, release_items
 from tidings.operators.notes import enrich_links, month_pages, month_sections, recent_pages
 from tidings.operators.retention import ARCHIVE, LIVE, last_kept, with_placement
-from tidings.schema import FRESH_ITEM, ITEM_COLUMNS, PAGE, STORED_ITEM
+from tidings.schema import (
+    ARCHIVED_ITEM, ATOM_ENTRY, FRESH_ITEM, ITEM_COLUMNS, PAGE, RSS_ENTRY, STORED_ITEM,
+)
 from tidings.shared import materialize
 from tidings.sources import feeds, listings
-from tidings.sources.pages import scan_pages
-from tidings.sources.status import isolate
+from tidings.sources.pages import read_pages
+from tidings.sources.reading import empty
+from tidings.sources.staging import OK, Staging, stage
+from tidings.sources.status import STATUS
 from tidings.sources.store import Store
 
 PLACE = ("origin", "pos")
@@ -84,7 +89,7 @@ def daily_run(spark: SparkSession, store: Store, fresh: DataFrame, as_of: str,
     The batch and the merged items are written to the shared folder once, because each has several
     readers and the stores they were computed from change below; the merged items are the batch
     plus the live items, never the archive. Order of the writes: archive, ledger, live, then the
-    run log that makes the run count.
+    run log that makes the run count. What was replaced long enough ago is deleted last.
     """
     previous = store.last_run(spark)
     batch = previous["batch"] + 1 if previous else 1
@@ -93,14 +98,15 @@ def daily_run(spark: SparkSession, store: Store, fresh: DataFrame, as_of: str,
         fresh.withColumn("batch", F.lit(batch).cast("long")).select(*STORED_ITEM.fieldNames()),
         "fresh")
     merged = materialize(merge(existing, fresh, store.ledger(spark), as_of), "merged")
-    last = None
-    if max_items:
-        last = materialize(last_kept(merged, as_of, max_items, max_age_days), "last-kept")
+    last = last_kept(merged, as_of, max_items, max_age_days) if max_items else None
     placed = ar.with_month(with_placement(merged, as_of, max_items, max_age_days, last=last))
 
-    outgoing = materialize(
-        ar.changed(store.archive(spark), placed.where(F.col("placement") == ARCHIVE)), "outgoing")
-    archived = ar.new_count(ar.touched_months(store.archive(spark), outgoing), outgoing)
+    outside = ar.with_digest(placed.where(F.col("placement") == ARCHIVE)
+                             .select(*ARCHIVED_ITEM.fieldNames()))
+    keys = materialize(ar.news(store.archive_index(spark), outside), "news")
+    # The keys are written, so Spark knows their size: a few are broadcast and no item is shuffled.
+    outgoing = materialize(outside.join(keys, ["month", "id"], "left_semi"), "outgoing")
+    archived = keys.where(~F.col("held")).agg(F.count("*").alias("newly_archived"))
     summary = materialize(run_summary(existing, fresh, placed, archived), "summary")
 
     store.upsert_archive(outgoing)
@@ -112,38 +118,89 @@ def daily_run(spark: SparkSession, store: Store, fresh: DataFrame, as_of: str,
         F.lit(batch).cast("long").alias("batch"), F.lit(as_of).alias("as_of"),
         F.lit(live_path).alias("live_path"), F.lit(name).cast("string").alias("stream"),
         F.lit(number).cast("long").alias("stream_batch"), "*"))
+    store.vacuum(spark)
     return summary
 
 
-def landed_sources(spark: SparkSession, landing: str, base_url: str, as_of: str,
-                   configured_repos: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All sources of a landing folder -> (fresh items, source status).
+@dataclass(frozen=True)
+class Layout:
+    """Where a landing folder holds what, and what names a release feed's repository in its path."""
+    blog: str = "blog/*.xml"
+    posts: str = "posts/*"
+    releases: str = "releases/*/*/releases.atom"
+    repos: str = "repos/*.json"
+    notes: str = "notes"
+    repo_of_path: str = feeds.REPO_OF_PATH
+
+
+class Landed(NamedTuple):
+    """What a landing folder gives: items, and the status of the sources, their inputs and documents."""
+    items: DataFrame
+    sources: DataFrame
+    inputs: DataFrame
+    documents: DataFrame
+
 
-    Folders: `blog/*.xml`, `posts/` (one file per post), `releases/<owner>/<repo>/releases.atom`,
-    `repos/*.json`, `notes/` (a mirror of the site: index page and month pages). A source that is missing contributes
-    nothing and the others go on.
+def stage_sources(spark: SparkSession, landing: str, base_url: str, as_of: str,
+                  configured_repos: DataFrame, layout: Layout = Layout()) -> Landed:
+    """Stage all sources of a landing folder, each input by a job of its own.
+
+    The inputs: blog feeds, `posts/` (one file per post, named by its URL in percent encoding), release feeds,
+    repository listings, and `notes/` (a mirror of the site: index page and month pages). A source fails with
+    its own input; without posts the teasers stand, without listings the configured repositories. Whatever
+    fails contributes nothing, and the others go on.
     """
-    def blog():
-        return blog_source(spark, f"{landing}/blog/*.xml", posts())
-
-    def posts():
-        # one page per file, named by its URL in percent encoding; no pages at all is fine
-        frames, _ = isolate(spark, {"posts": lambda: scan_pages(
-            spark, f"{landing}/posts/*", "posts", "")}, PAGE)
-        named = F.regexp_replace("url", "^/", "")
-        return frames["posts"].withColumn("url", F.url_decode(named))
-
-    def releases():
-        discovered = listings.scan_repo_listing(spark, f"{landing}/repos/*.json")
-        repos = listings.repo_union(configured_repos, discovered)
-        return release_source(spark, f"{landing}/releases/*/*/releases.atom", repos)
-
-    def notes():
-        pages = scan_pages(spark, f"{landing}/notes", "notes", base_url)
+    staging = Staging(spark)
+    at = {f: f"{landing}/{getattr(layout, f)}" for f in ("blog", "posts", "releases", "repos", "notes")}
+    placed = [T.StructField("origin", T.StringType()), T.StructField("pos", T.LongType())]
+    page = T.StructType([*PAGE.fields, placed[0]])
+    has_text = F.length(F.coalesce("html", F.lit(""))) > 0
+
+    blog = staging.records(
+        "blog", at["blog"], lambda skip: feeds.scan_xml(spark, at["blog"], "item", RSS_ENTRY, skip),
+        feeds.rss_usable(), T.StructType([*RSS_ENTRY.fields, *placed]))
+    posts = staging.records(
+        "posts", at["posts"], lambda skip: read_pages(spark, at["posts"], "posts", "", skip), has_text, page)
+    releases = staging.records(
+        "releases", at["releases"],
+        lambda skip: feeds.scan_xml(spark, at["releases"], "entry", ATOM_ENTRY, skip),
+        feeds.atom_usable(), T.StructType([*ATOM_ENTRY.fields, *placed]))
+    repos = staging.records(
+        "repos", at["repos"], lambda skip: listings.read_listing(spark, at["repos"], skip),
+        listings.listing_usable(), listings.LISTED)
+    notes = staging.records(
+        "notes", at["notes"], lambda skip: read_pages(spark, at["notes"], "notes", base_url, skip),
+        has_text, page)
+
+    def of_blog(_):
+        named = posts.select(F.url_decode(F.regexp_replace("url", "^/", "")).alias("url"), "html")
+        return blog_items(with_post_summary(feeds.rss_entries(blog), named), carry=PLACE)
+
+    def of_releases(_):
+        watched = listings.repo_union(configured_repos, listings.active_repos(repos))
+        entries = feeds.atom_entries(releases, layout.repo_of_path)
+        return release_items(listings.of_repos(entries, watched), carry=PLACE)
+
+    def of_notes(_):
+        pages = notes.select("url", "html")
         index = pages.where(~F.col("url").rlike(fv.MONTH_PAGE_URL))
         return note_source(index, pages, base_url, as_of)
 
-    readers: dict[str, Callable[[], DataFrame]] = {
-        fv.SOURCE_BLOG: blog, fv.SOURCE_RELEASES: releases, fv.SOURCE_NOTES: notes}
-    frames, status = isolate(spark, readers, FRESH_ITEM)
-    return union_sources(frames), status
+    frames, rows = {}, []
+    for source, own, build in ((fv.SOURCE_BLOG, "blog", of_blog),
+                               (fv.SOURCE_RELEASES, "releases", of_releases),
+                               (fv.SOURCE_NOTES, "notes", of_notes)):
+        found = staging.inputs[own]
+        if found.status == OK:
+            found = stage(spark, f"items-{own}", build, FRESH_ITEM)
+        frames[source] = found.rows if found.status == OK else empty(spark, FRESH_ITEM)
+        rows.append((source, found.status, found.detail))
+    return Landed(union_sources(frames), spark.createDataFrame(rows, STATUS), staging.input_status(),
+                  staging.document_status())
+
+
+def landed_sources(spark: SparkSession, landing: str, base_url: str, as_of: str,
+                   configured_repos: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All sources of a landing folder -> (fresh items, source status)."""
+    landed = stage_sources(spark, landing, base_url, as_of, configured_repos)
+    return landed.items, landed.sources

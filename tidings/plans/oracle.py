@@ -265,6 +265,18 @@ merged2 AS (
 {live(2, second)}"""
 
 
+def recent_notes(names: str, sentence: str) -> str:
+    """Views `recent` and `enriched`: links with the sections of the recent months."""
+    return f"""recent AS (
+    SELECT * FROM sections WHERE year * 12 + month BETWEEN 1999 * 12 + 11 AND 2000 * 12 + 2),
+enriched AS (
+    SELECT l.*, coalesce(nullif(r.body, ''), '{sentence.replace("|| year ||", "|| l.year ||")}') AS summary,
+           coalesce(r.exact_date, {day('last_day(make_date(l.year, l.month, 1))')}) AS published,
+           CASE WHEN r.exact_date IS NULL THEN {APPROX} ELSE '' END AS tags
+    FROM (SELECT *, {names}[month] AS name FROM links) l
+    LEFT JOIN recent r ON l.year = r.year AND l.month = r.month AND l.slug = r.slug)"""
+
+
 # --- queries ------------------------------------------------------------------------------------
 
 def oracle_sql() -> dict[str, str]:
@@ -378,21 +390,12 @@ def oracle_sql() -> dict[str, str]:
             FROM cleaned e LEFT JOIN described d USING (url)""",
         "enrich_links": f"""
             WITH {LINKS}, {SECTIONS},
-            recent AS (
-                SELECT * FROM sections WHERE year * 12 + month BETWEEN 1999 * 12 + 11
-                                                               AND 2000 * 12 + 2),
-            enriched AS (
-                SELECT l.*, coalesce(nullif(r.body, ''), '{sentence}') AS summary,
-                       coalesce(r.exact_date,
-                                {day('last_day(make_date(l.year, l.month, 1))')}) AS published,
-                       CASE WHEN r.exact_date IS NULL THEN {APPROX} ELSE '' END AS tags
-                FROM (SELECT *, {names}[month] AS name FROM links) l
-                LEFT JOIN recent r ON l.year = r.year AND l.month = r.month AND l.slug = r.slug)
+            {recent_notes(names, sentence)}
             SELECT {ident('url')} AS id, '{fv.SOURCE_NOTES}' AS source,
                    '{fv.LABEL_NOTES}' AS source_label, title, url, published,
                    {NO_TEXT} AS first_seen, summary,
                    {category("title || ' ' || summary")} AS category, tags
-            FROM enriched""".replace("' || year || '", "' || l.year || '"),
+            FROM enriched""",
 
         "dedupe_first": f"""WITH {SIGHTINGS}
             SELECT id, url, run_date, published, source, ord FROM sightings
@@ -526,6 +529,50 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'absent', 'missing', 0
             UNION ALL SELECT 'orders', 'ok', count(*) FROM orders""",
 
+        "landed_run": f"""
+            WITH {ENTRIES},
+            posts AS (
+                SELECT e.*, {day("DATE '2026-01-01' + CAST(doc_id % 200 AS INTEGER) + 1")} AS day,
+                       {plain('summary')} AS teaser FROM entries e),
+            blog AS (
+                SELECT '{t.SITE}/post/' || doc_id AS link, {strip('title')} AS title, day,
+                       CASE doc_id WHEN 1 THEN 'Post 1 & its page' WHEN 2 THEN 'Post 2'
+                                   ELSE {cut('teaser')} END AS summary FROM posts
+                UNION ALL SELECT '{t.SITE}/late', 'Late & last', '2026-07-04', ''),
+            watched AS (
+                SELECT 'src' || n_nationkey AS repo FROM nation
+                WHERE NOT (n_nationkey % 2 = 0 AND n_nationkey % 5 = 4) AND n_nationkey % 7 <> 3
+                UNION SELECT unnest({c.landed.CONFIGURED})),
+            bodies AS (
+                SELECT doc_id, repo, title, CASE doc_id % 3
+                    WHEN 0 THEN {plain("'<p>' || translate(summary, '&<', '+(') || '</p>Signed-off-by: someone'")}
+                    ELSE {plain("translate(summary, '&<', '+(')")} END AS full_text
+                FROM entries SEMI JOIN watched USING (repo)),
+            shortened AS (SELECT *, {cut('full_text')} AS short FROM bodies),
+            releases AS (
+                SELECT '{t.SITE}/release/' || doc_id AS link, repo || ': ' || {strip('title')} AS title,
+                       {strip(f"""array_to_string([x for x in string_split(short, {NL})
+                           if NOT regexp_matches({strip('x')}, '(?i)^Signed-off-by:')], {NL})""")} AS summary
+                FROM shortened),
+            {LINKS}, {SECTIONS}, {recent_notes(names, sentence)}
+            SELECT 'item' AS kind, '{fv.SOURCE_BLOG}' AS source, {ident('link')} AS name, title,
+                   day AS published, {strip('summary')} AS summary, CAST(NULL AS BIGINT) AS records,
+                   CAST(NULL AS BIGINT) AS unusable FROM blog
+            UNION ALL
+            SELECT 'item', '{fv.SOURCE_RELEASES}', {ident('link')}, title, '2026-05-02', summary, NULL, NULL
+            FROM releases
+            UNION ALL
+            SELECT 'item', '{fv.SOURCE_NOTES}', {ident('url')}, title, published, summary, NULL, NULL
+            FROM enriched
+            UNION ALL SELECT 'document', 'blog', 'ok', NULL, NULL, NULL, count(*) + 3, 2 FROM documents
+            UNION ALL SELECT 'document', 'blog', 'unreadable', NULL, NULL, NULL, 0, 0
+            UNION ALL SELECT 'document', 'posts', 'ok', NULL, NULL, NULL, 3, 0
+            UNION ALL SELECT 'document', 'releases', 'ok', NULL, NULL, NULL, count(*), 0 FROM documents
+            UNION ALL SELECT 'document', 'repos', 'ok', NULL, NULL, NULL, count(*) + 2, 2 FROM nation
+            UNION ALL SELECT 'source', '{fv.SOURCE_BLOG}', 'ok', '', NULL, NULL, NULL, NULL
+            UNION ALL SELECT 'source', '{fv.SOURCE_RELEASES}', 'ok', '', NULL, NULL, NULL, NULL
+            UNION ALL SELECT 'source', '{fv.SOURCE_NOTES}', 'ok', '', NULL, NULL, NULL, NULL""",
+
         "run_summary": f"""WITH {two_runs()},
             counts AS (
                 SELECT 1 AS batch, '{c.FIRST_RUN}' AS as_of,

@@ -38,11 +38,18 @@ LEDGER = T.StructType([T.StructField("id", _S), T.StructField("first_seen", _S)]
 
 ARCHIVED_ITEM = T.StructType(STORED_ITEM.fields + [T.StructField("month", _S)])
 
-#: An archived item with the version of its month; and a month of a finished version.
-VERSIONED_ITEM = T.StructType(
-    STORED_ITEM.fields + [T.StructField("version", _L), T.StructField("month", _S)])
+#: An archived item as its file holds it, with a digest of its content and the version of its month;
+#: and a month of a finished version (`at`: milliseconds since 1970).
+VERSIONED_ITEM = T.StructType(STORED_ITEM.fields + [
+    T.StructField("digest", _L), T.StructField("version", _L), T.StructField("month", _S)])
 COMMIT = T.StructType([
-    T.StructField("version", _L), T.StructField("month", _S), T.StructField("count", _L)])
+    T.StructField("version", _L), T.StructField("month", _S), T.StructField("count", _L),
+    T.StructField("at", _L)])
+
+#: What tells whether an item is archived already: a narrow part of the archive's columns.
+ARCHIVE_INDEX = T.StructType([
+    T.StructField("month", _S), T.StructField("id", _S), T.StructField("digest", _L),
+    *ORDER.fields])
 
 MANIFEST = T.StructType([T.StructField("month", _S), T.StructField("count", _L)])
 
@@ -62,18 +69,17 @@ RSS_ENTRY = T.StructType([
     T.StructField("_corrupt", _S),
 ])
 
-_TEXT = T.StructType([T.StructField("_VALUE", _S), T.StructField("_type", _S)])
-
-#: Atom <entry>, as far as it is used.
+#: Atom <entry>, as far as it is used. A text construct is read as a string: escaped markup unescaped, and
+#: of a subtree (xhtml) its inner markup.
 ATOM_ENTRY = T.StructType([
-    T.StructField("title", _TEXT),
+    T.StructField("title", _S),
     T.StructField("updated", _S),
     T.StructField("published", _S),
     T.StructField("link", T.ArrayType(T.StructType([
         T.StructField("_href", _S), T.StructField("_rel", _S),
     ]))),
-    T.StructField("summary", _TEXT),
-    T.StructField("content", _TEXT),
+    T.StructField("summary", _S),
+    T.StructField("content", _S),
     T.StructField("_corrupt", _S),
 ])
 
@@ -81,6 +87,7 @@ REPO_LISTING = T.StructType([
     T.StructField("full_name", _S),
     T.StructField("archived", T.BooleanType()),
     T.StructField("fork", T.BooleanType()),
+    T.StructField("_corrupt", _S),
 ])
 
 RUN = T.StructType([

@@ -1,10 +1,15 @@
 """Reading what may not be there."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+def origin() -> Column:
+    """The document that a row of a scan comes from."""
+    return F.col("_metadata.file_path")
+
+
 def is_missing(error: Exception) -> bool:
     return isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
 
@@ -24,3 +29,11 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType, fmt: str =
             return empty(spark, schema)
         raise
 
+
+def without(scan: DataFrame, documents: list[str]) -> DataFrame:
+    """A scan that leaves some documents out. They are ruled out by name when files are listed."""
+    return scan.where(~origin().isin(list(documents))) if documents else scan
+
+
+def only(scan: DataFrame, documents: list[str]) -> DataFrame:
+    return scan.where(origin().isin(list(documents)) if documents else F.lit(False))

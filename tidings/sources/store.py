@@ -6,7 +6,7 @@ Layout below one root folder:
     ledger/             (id, first_seen), append only
     archive/            items by version and month; an upsert writes the months it touches anew,
                         as one version, and leaves all earlier files as they are
-    commits/            (version, month, count) of every finished upsert, append only
+    commits/            (version, month, count, at) of every finished upsert
     manifest/           item count per month, JSON
     runs/               one row per finished run, append only
 
@@ -17,23 +17,34 @@ the same result, because the archive upsert and the ledger append are idempotent
 The archive has a commit record of its own: a month is what the last version that names it holds.
 The record of a version is one file, written after its months, so that readers see all of an
 upsert or nothing of it, and an upsert that died is written over by the next. One writer at a time
-is assumed. Versions that were replaced stay until someone deletes them.
+is assumed. A version that was replaced stays for `retain_hours`, for readers that were planned before,
+and goes with the next `vacuum`, which every run ends with.
+
+Each archived item has a digest of its content in a column of its own. (month, id, digest) and the places
+are the archive's index: a narrow scan of the same files, committed with them.
 """
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidings.operators.archive import touched_months, upsert
+from tidings.operators import archive as ar
 from tidings.schema import (
-    ARCHIVED_ITEM, COMMIT, ITEM, ITEM_COLUMNS, LEDGER, RUN, STORED_ITEM, VERSIONED_ITEM,
+    ARCHIVE_INDEX, ARCHIVED_ITEM, COMMIT, ITEM, ITEM_COLUMNS, LEDGER, RUN, STORED_ITEM, VERSIONED_ITEM,
 )
+from tidings.sources import files
 from tidings.sources.reading import empty, read_or_empty
 
 
+#: Files of the commit record from which on a vacuum writes them as one.
+MAX_COMMIT_FILES = 10
+
+
 @dataclass(frozen=True)
 class Store:
     root: str
+    retain_hours: float = 7 * 24
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -64,18 +75,30 @@ class Store:
             F.max_by("version", "version").alias("version"),
             F.max_by("count", "version").alias("count"))
 
-    def archive(self, spark: SparkSession) -> DataFrame:
-        """The archive as of the last finished upsert.
+    def _archive_files(self, spark: SparkSession) -> DataFrame | None:
+        """The files in force, one version per calendar month, or None.
 
-        The versions in force, one per calendar month, are looked up first, so that files of
-        others are pruned when the scan is planned.
+        The versions are looked up first: only their folders are listed, and of those only the months
+        in force are kept when the scan is planned.
         """
-        current = [f"{r['version']}|{r['month'] or ''}" for r in self.months(spark).collect()]
+        current = self.months(spark).select("version", "month").collect()
         if not current:
-            return empty(spark, ARCHIVED_ITEM)
-        files = spark.read.schema(VERSIONED_ITEM).parquet(self.path("archive"))
+            return None
+        root = self.path("archive")
+        rows = spark.read.schema(VERSIONED_ITEM).option("basePath", root).parquet(
+            *[f"{root}/version={v}" for v in sorted({r["version"] for r in current})])
         named = F.concat_ws("|", F.col("version").cast("string"), F.coalesce("month", F.lit("")))
-        return files.where(named.isin(current)).select(*ARCHIVED_ITEM.fieldNames())
+        return rows.where(named.isin([f"{r['version']}|{r['month'] or ''}" for r in current]))
+
+    def archive(self, spark: SparkSession) -> DataFrame:
+        """The archive as of the last finished upsert."""
+        rows = self._archive_files(spark)
+        return empty(spark, ARCHIVED_ITEM) if rows is None else rows.select(*ARCHIVED_ITEM.fieldNames())
+
+    def archive_index(self, spark: SparkSession) -> DataFrame:
+        """Key, digest and place of what is archived; of the files only these columns are read."""
+        rows = self._archive_files(spark)
+        return empty(spark, ARCHIVE_INDEX) if rows is None else rows.select(*ARCHIVE_INDEX.fieldNames())
 
     def write_live(self, items: DataFrame, batch: int) -> str:
         path = self.path(f"live/{batch:012d}")
@@ -90,16 +113,81 @@ class Store:
     def upsert_archive(self, incoming: DataFrame) -> None:
         """Merge `incoming` (with `month`) into its months; other months are not read or written."""
         spark = incoming.sparkSession
+        incoming = ar.with_digest(incoming.select(*ARCHIVED_ITEM.fieldNames()))
+        if incoming.isEmpty():
+            return
         last = self.commits(spark).agg(F.max("version")).first()[0]
         version = (last or 0) + 1
-        incoming = incoming.select(*ARCHIVED_ITEM.fieldNames())
+        rows = self._archive_files(spark)
+        if rows is None:
+            rows = empty(spark, VERSIONED_ITEM)
+        held = ar.touched_months(rows.select(*incoming.columns), incoming)
+        index = ar.touched_months(self.archive_index(spark), incoming)
         path = self.path(f"archive/version={version}")
-        write_archive(upsert(touched_months(self.archive(spark), incoming), incoming), path)
+        write_archive(ar.upsert(held, incoming, index=index), path)
         written = spark.read.schema(ARCHIVED_ITEM).parquet(path).groupBy("month").agg(
-            F.count("*").alias("count")).withColumn("version", F.lit(version).cast("long"))
-        (written.select(*COMMIT.fieldNames()).coalesce(1).write.mode("append")
+            F.count("*").alias("count"))
+        self._append_commits(written.select(
+            F.lit(version).cast("long").alias("version"), "month", "count",
+            F.lit(int(time.time() * 1000)).cast("long").alias("at")))
+
+    def _append_commits(self, rows: DataFrame) -> None:
+        """As one file, so that all of the rows are there or none."""
+        (rows.select(*COMMIT.fieldNames()).coalesce(1).write.mode("append")
          .parquet(self.path("commits")))
 
+    def vacuum(self, spark: SparkSession, retain_hours: float | None = None) -> list[str]:
+        """Delete what was replaced over `retain_hours` ago, and write the commit record as one file.
+
+        A month's version goes if its successor was committed before that time: readers planned since then
+        have been reading the successor. A version that died before its commit isn't touched. The commit
+        record is written anew, with what is left, before the old files of it go; rows that are there twice
+        in between change nothing. Returns the folders deleted. Only names and the record itself come to the
+        driver: one row per month and version on disk.
+        """
+        hours = self.retain_hours if retain_hours is None else retain_hours
+        before = int((time.time() - hours * 3600) * 1000)
+        log = list(files.children(spark, self.path("commits")))
+        rows = [tuple(r) for r in self.commits(spark).distinct().collect()]
+        by_month: dict = {}
+        for row in sorted(rows, key=lambda r: r[0]):
+            by_month.setdefault(row[1], []).append(row)
+        keep, gone = [], []
+        for months in by_month.values():
+            for row, later in zip(months, [*months[1:], None], strict=True):
+                (keep if later is None or (later[3] or 0) >= before else gone).append(row)
+        deleted = [self._drop_month(spark, row[0], row[1]) for row in gone]
+        if gone or len([x for x in log if x.endswith(".parquet")]) > MAX_COMMIT_FILES:
+            self._append_commits(spark.createDataFrame(sorted(keep, key=repr), COMMIT))
+            for name in log:
+                files.delete(spark, self.path(f"commits/{name}"))
+        return [x for x in deleted if x] + self._vacuum_live(spark, before)
+
+    def _drop_month(self, spark: SparkSession, version: int, month: str | None) -> str | None:
+        folder = self.path(f"archive/version={version}")
+        names = [x for x in files.children(spark, folder) if x.startswith("month=")]
+        for name in names:
+            if files.partition_value(name) == month:
+                files.delete(spark, f"{folder}/{name}")
+                if len(names) == 1:
+                    files.delete(spark, folder)
+                return f"{folder}/{name}"
+        return None
+
+    def _vacuum_live(self, spark: SparkSession, before: int) -> list[str]:
+        """Live folders of earlier runs whose successor is finished and old enough."""
+        last = self.last_run(spark)
+        if last is None:
+            return []
+        batches = sorted(files.children(spark, self.path("live")).items())
+        current = last["live_path"].rsplit("/", 1)[1]
+        gone = [f"{self.path('live')}/{name}"
+                for (name, _), (later, changed) in zip(batches, batches[1:], strict=False)
+                if later <= current and changed < before]
+        for path in gone:
+            files.delete(spark, path)
+        return gone
+
     def write_manifest(self, spark: SparkSession) -> None:
         """Counts per month, newest first, from the commit record: no archived item is read."""
         counts = self.months(spark).select("month", "count").orderBy(F.desc("month"))
