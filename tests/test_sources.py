@@ -1,15 +1,17 @@
 """Landed feeds, listings and pages; failure isolation; incremental runs."""
 
+import gzip
 import json
 from urllib.parse import quote
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidings import fixed_values as fv
 from tidings.operators.normalize import blog_items, release_items
-from tidings.plans.daily import PLACE, landed_sources, union_sources
+from tidings.plans.daily import PLACE, landed_sources, stage_sources, union_sources
 from tidings.schema import RSS_ENTRY
-from tidings.sources import feeds, listings
+from tidings.sources import feeds, listings, staging
 from tidings.sources.pages import scan_pages
 from tidings.sources.status import isolate, record_status
 from tidings.sources.store import Store
@@ -138,6 +140,87 @@ def test_landed_sources_together(spark, tmp_path):
     assert fresh.count() == 0 and {r.status for r in status.collect()} == {"missing"}
 
 
+def test_one_unreadable_document_costs_no_other(spark, tmp_path):
+    """Broken archives are left out and named; an entry without a link is counted; an empty feed is named."""
+    put(tmp_path, "blog/a.xml", RSS)
+    put(tmp_path, "blog/none.xml", "<rss><channel/></rss>")
+    whole = gzip.compress(RSS.encode() * 50)
+    for name, data in (("cut", whole[:len(whole) // 2]), ("no", b"no archive")):
+        (tmp_path / f"blog/{name}.xml").mkdir()
+        (tmp_path / f"blog/{name}.xml/part.xml.gz").write_bytes(data)
+    put(tmp_path, "releases/apache/spark/releases.atom", ATOM.format(name="spark"))
+    configured = spark.createDataFrame([("apache/spark", "cfg", 0)],
+                                       "full_name string, origin string, pos long")
+    landed = stage_sources(spark, str(tmp_path), "https://example.com", "2026-07-30", configured)
+    assert {r.title for r in landed.items.collect()} == {
+        "One & only", "Two", "apache/spark: v1", "apache/spark: v2"}
+    assert {r.source: r.status for r in landed.sources.collect()} == {
+        fv.SOURCE_BLOG: "ok", fv.SOURCE_RELEASES: "ok", fv.SOURCE_NOTES: "missing"}
+    assert {r.input: r.status for r in landed.inputs.collect()} == {
+        "blog": "ok", "posts": "missing", "releases": "ok", "repos": "missing", "notes": "missing"}
+    documents = {r.document.split("/", 4)[-1].rsplit("/blog/")[-1]: (r.status, r.records, r.unusable)
+                 for r in landed.documents.where("input = 'blog'").collect()}
+    assert documents == {"a.xml": ("ok", 3, 1), "none.xml": ("empty", 0, 0),
+                         "cut.xml/part.xml.gz": ("unreadable", 0, 0),
+                         "no.xml/part.xml.gz": ("unreadable", 0, 0)}
+
+
+def test_a_source_that_fails_while_it_runs_costs_no_other(spark, tmp_path, monkeypatch):
+    """More unreadable documents than are left out one by one; and a failure that names no document."""
+    put(tmp_path, "releases/apache/spark/releases.atom", ATOM.format(name="spark"))
+    for n in range(3):
+        (tmp_path / f"blog/{n}.xml").mkdir(parents=True)
+        (tmp_path / f"blog/{n}.xml/part.xml.gz").write_bytes(b"no archive")
+    configured = spark.createDataFrame([("apache/spark", "cfg", 0)],
+                                       "full_name string, origin string, pos long")
+    monkeypatch.setattr(staging, "MAX_UNREADABLE", 2)
+    landed = stage_sources(spark, str(tmp_path), "https://example.com", "2026-07-30", configured)
+    status = {r.source: (r.status, r.detail) for r in landed.sources.collect()}
+    assert status[fv.SOURCE_BLOG] == ("failed", "FAILED_READ_FILE.NO_HINT")
+    assert status[fv.SOURCE_RELEASES][0] == "ok" and landed.items.count() == 2
+
+    staged = staging.stage(spark, "x", lambda skip: spark.range(3).select(
+        F.raise_error(F.lit("broken")).cast("string").alias("a")), "a string")
+    assert (staged.status, staged.rows.count()) == ("failed", 0)
+    with pytest.raises(ZeroDivisionError):         # an error of this program isn't a failed source
+        staging.stage(spark, "x", lambda skip: 1 / 0, "a string")
+
+
+def test_atom_content_of_each_kind(spark, tmp_path):
+    """Text, escaped markup, CDATA and a subtree; an empty summary gives way to the content."""
+    put(tmp_path, "o/r/releases.atom", """<feed xmlns="http://www.w3.org/2005/Atom">
+<entry><title type="text">a</title><link href="https://e/a"/><content type="text">one &amp;amp; two</content></entry>
+<entry><title>b</title><link href="https://e/b"/><content type="html">&lt;p&gt;one&lt;/p&gt;&lt;li&gt;two</content></entry>
+<entry><title>c</title><link href="https://e/c"/><summary/><content><![CDATA[<p>one</p><br/>two]]></content></entry>
+<entry><title>d</title><link href="https://e/d"/><content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">
+  <p>one <b>bold</b></p><ul><li>two</li></ul></div></content></entry>
+<entry><title>e</title><link href="https://e/e"/><summary type="html">s</summary><content>c</content></entry>
+</feed>""")
+    rows = feeds.scan_atom(spark, str(tmp_path / "*/*/releases.atom")).orderBy("pos").collect()
+    assert [(r.title, r.summary) for r in rows] == [
+        ("a", "one & two"), ("b", "one\n\n- two"), ("c", "one\n\ntwo"), ("d", "one bold\n\n- two"), ("e", "s")]
+
+
+def test_listing_pages_of_either_form_lose_nothing(spark, tmp_path):
+    put(tmp_path, "a.json", "\n \n[\n" + ",\n".join(f'{{"full_name": "o/a{i}"}}' for i in range(5)) + "\n]")
+    put(tmp_path, "b.json", "\n".join(f'{{"full_name": "o/b{i}", "fork": {str(i == 1).lower()}}}' for i in range(5)))
+    put(tmp_path, "c.json", '{"message": "rate limit"}')
+    put(tmp_path, "d.json", '[{"full_name": "o/d0"}, {"full_na')
+    put(tmp_path, "e.json", " \n")
+    put(tmp_path, "f.json", "[]")
+    put(tmp_path, "g h.json", '[{"full_name": "o/g0", "archived": true}, {"full_name": "o/g1"}]')
+    found = listings.scan_repo_listing(spark, str(tmp_path / "*.json")).orderBy("origin", "pos").collect()
+    assert [r.full_name for r in found] == [
+        *[f"o/a{i}" for i in range(5)], "o/b0", "o/b2", "o/b3", "o/b4", "o/g1"]
+    stage = staging.Staging(spark)
+    stage.records("repos", str(tmp_path / "*.json"), lambda skip: listings.read_listing(
+        spark, str(tmp_path / "*.json"), skip), listings.listing_usable(), listings.LISTED)
+    got = {r.document[-6:]: (r.status, r.records, r.unusable) for r in stage.document_status().collect()}
+    assert got == {"a.json": ("ok", 5, 0), "b.json": ("ok", 5, 0), "c.json": ("ok", 1, 1),
+                   "d.json": ("ok", 1, 1), "e.json": ("empty", 0, 0), "f.json": ("empty", 0, 0),
+                   "h.json": ("ok", 2, 0)}
+
+
 def test_union_keeps_the_order_of_sources(spark, tmp_path):
     put(tmp_path, "a.xml", RSS)
     items = blog_items(feeds.scan_rss(spark, str(tmp_path)), carry=PLACE)

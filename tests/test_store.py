@@ -105,6 +105,99 @@ def test_a_history_sent_again_rewrites_no_month(spark, tmp_path):
     assert sorted(i for _, i in archived(store, spark)) == ["a", "b", "c"]
 
 
+def month_rows(spark, *rows):
+    df = stored(spark, [item(n, p, b, t) for n, p, b, t in rows])
+    return df.withColumn("month", F.substring("published", 1, 7))
+
+
+def test_a_resent_history_reads_the_index_only(spark, tmp_path, plan_of):
+    """No text of either side is a join key or is shuffled, and of the archive only narrow columns are read."""
+    from tidings.operators import archive as ar
+    store = st.Store(str(tmp_path / "s"))
+    rows = materialize(month_rows(spark, *[(f"i{n}", f"2026-0{n % 9 + 1}-01", 1, "t") for n in range(50)]), "rows")
+    store.upsert_archive(rows)
+    sent = ar.with_digest(rows.withColumn("title", F.when(F.col("id") == "i7", "new").otherwise(F.col("title"))))
+    keys = ar.news(store.archive_index(spark), sent)
+    assert [tuple(r) for r in keys.collect()] == [("2026-08", "i7", True)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(ar.news(store.archive_index(spark), sent))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    index = [line for line in plan.split("\n") if "FileScan" in line and "digest#" in line]
+    assert len(index) == 1 and "summary" not in index[0] and "title" not in index[0]
+    for line in plan.split("\n"):
+        if "Join" in line or "Exchange" in line or "HashAggregate" in line:
+            assert "summary" not in line and "title" not in line
+
+
+def test_an_archive_without_digests_is_read_and_written_over(spark, tmp_path):
+    """Files of a store that an earlier version of this library wrote."""
+    store = st.Store(str(tmp_path / "s"))
+    old = month_rows(spark, ("a", "2026-01-05", 1, "a"), ("b", "2026-02-05", 1, "b"))
+    st.write_archive(old, store.path("archive/version=1"))
+    spark.createDataFrame([(1, "2026-01", 1), (1, "2026-02", 1)], "version bigint, month string, count bigint"
+                          ).write.parquet(store.path("commits"))
+    assert sorted(archived(store, spark)) == [("2026-01", "a"), ("2026-02", "b")]
+    store.upsert_archive(materialize(month_rows(spark, ("a", "2026-01-05", 2, "new")), "incoming"))
+    assert {k: r.title for k, r in archived(store, spark).items()} == {
+        ("2026-01", "a"): "new", ("2026-02", "b"): "b"}
+    store.vacuum(spark, 0)
+    assert {k: r.title for k, r in archived(store, spark).items()} == {
+        ("2026-01", "a"): "new", ("2026-02", "b"): "b"}
+
+
+def test_after_ten_upserts_only_versions_in_force_are_listed(spark, tmp_path):
+    store = st.Store(str(tmp_path / "s"))
+    for n in range(10):
+        store.upsert_archive(materialize(month_rows(
+            spark, ("a", "2026-01-05", n, f"t{n}"), (f"m{n}", f"2026-0{n % 3 + 2}-01", n, "m")), "incoming"))
+        if n == 8:
+            planned = store.archive(spark)
+            assert store.vacuum(spark) == []          # nothing is older than the retention
+    assert len(list((tmp_path / "s/commits").glob("*.parquet"))) == 10
+    before = planned.count()                          # a reader planned before the last upsert still finishes
+    want = archived(store, spark)
+    gone = store.vacuum(spark, 0)
+    folders = {f"{v.name}/{m.name}" for v in (tmp_path / "s/archive").iterdir() for m in v.glob("month=*")}
+    assert folders == {"version=10/month=2026-01", "version=10/month=2026-02", "version=8/month=2026-03",
+                       "version=9/month=2026-04"}
+    assert before == 10 and len(gone) == 16
+    assert len(list((tmp_path / "s/commits").glob("*.parquet"))) == 1
+    assert archived(store, spark) == want
+    assert {r.month: r["count"] for r in store.months(spark).collect()} == {
+        "2026-01": 1, "2026-02": 4, "2026-03": 3, "2026-04": 3}
+    store.upsert_archive(materialize(month_rows(spark, ("z", "2026-09-01", 11, "z")), "incoming"))
+    assert ("2026-09", "z") in archived(store, spark) and len(archived(store, spark)) == len(want) + 1
+    assert store.vacuum(spark, 0) == []
+
+
+def test_a_vacuum_that_died_changes_nothing(spark, tmp_path, monkeypatch):
+    store = st.Store(str(tmp_path / "s"))
+    for n in range(3):
+        store.upsert_archive(materialize(month_rows(spark, ("a", "2026-01-05", n, f"t{n}")), "incoming"))
+    want = archived(store, spark)
+    for moment in ("delete", "_append_commits"):
+        with monkeypatch.context() as patch:
+            def die(*_):
+                raise RuntimeError("lost")
+            patch.setattr(*((st.files, moment) if moment == "delete" else (st.Store, moment)), die)
+            with pytest.raises(RuntimeError):
+                store.vacuum(spark, 0)
+        assert archived(store, spark) == want
+    store.vacuum(spark, 0)
+    assert archived(store, spark) == want
+
+
+def test_live_folders_of_earlier_runs_go(spark, tmp_path):
+    store = st.Store(str(tmp_path / "s"), retain_hours=0)
+    for n in range(3):
+        daily_run(spark, store, fresh(spark, (f"i{n}", "2026-07-01")), f"2026-07-1{n}", 10, 90)
+    assert len(list((tmp_path / "s/live").iterdir())) == 1
+    assert {r.id for r in store.live(spark).collect()} == {"i0", "i1", "i2"}
+
+
 def test_touched_months_prune_partitions(spark, tmp_path, plan_of):
     from tidings.operators.archive import month_items, touched_months
     store = st.Store(str(tmp_path / "s"))

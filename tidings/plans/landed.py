@@ -18,7 +18,7 @@ LAYOUT = Layout(releases="releases/*", repo_of_path=r"repo=([^=]+)/[^/]+$")
 CONFIGURED = ["src1", "src2", "src2"]
 
 #: Documents of which the post's own page has landed; the last page describes nothing.
-DESCRIBED_POSTS = {1: '<meta name="description" lang="en" content="Post 1 &amp;amp; its &lt;b&gt;page&lt;/b&gt;">',
+DESCRIBED_POSTS = {1: '<meta name="description" lang="en" content="Post 1 &amp; its &lt;b&gt;page&lt;/b&gt;">',
                    2: '<meta content="Post 2" name="description">',
                    3: "<p>no description</p>"}
 

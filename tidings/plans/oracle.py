@@ -536,7 +536,7 @@ def oracle_sql() -> dict[str, str]:
                        {plain('summary')} AS teaser FROM entries e),
             blog AS (
                 SELECT '{t.SITE}/post/' || doc_id AS link, {strip('title')} AS title, day,
-                       CASE doc_id WHEN 1 THEN 'Post 1 & its page' WHEN 2 THEN 'Post 2'
+                       CASE doc_id WHEN 1 THEN 'Post 1 & its <b>page</b>' WHEN 2 THEN 'Post 2'
                                    ELSE {cut('teaser')} END AS summary FROM posts
                 UNION ALL SELECT '{t.SITE}/late', 'Late & last', '2026-07-04', ''),
             watched AS (

@@ -20,12 +20,7 @@ def read_listing(spark: SparkSession, path: str, skip: list[str] = ()) -> DataFr
     two readers then gets its own pages. Their names come to the driver, as the names of all files do that a scan
     reads. What is no repository (an error object, a page cut short) is a record too, without a name.
     """
-    try:
-        lines = without(spark.read.text(path), skip)
-    except AnalysisException as error:
-        if is_missing(error):
-            return empty(spark, LISTED)
-        raise
+    lines = without(spark.read.text(path), skip)
     place = F.struct(F.col("_metadata.file_block_start").alias("start"),
                      F.monotonically_increasing_id().alias("line"))
     begun = lines.select(origin().alias("origin"), place.alias("place"),
@@ -53,9 +48,14 @@ def scan_repo_listing(spark: SparkSession, path: str) -> DataFrame:
     """Landed listing pages of either form -> (full_name, origin, pos).
 
     All pages are read at once. Archived repositories, forks and what has no name are left out; a missing flag
-    counts as false.
+    counts as false. No pages, no repositories.
     """
-    return active_repos(read_listing(spark, path))
+    try:
+        return active_repos(read_listing(spark, path))
+    except AnalysisException as error:
+        if is_missing(error):
+            return active_repos(empty(spark, LISTED))
+        raise
 
 
 def active_repos(listing: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Reading what may not be there."""
 
+import re
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -30,10 +33,21 @@ def read_or_empty(spark: SparkSession, path: str, schema: StructType, fmt: str =
         raise
 
 
+def spellings(documents: list[str]) -> list[str]:
+    """The ways Spark writes a file's name: errors and scans differ in a local scheme's slashes and in escapes."""
+    found = set()
+    for name in documents:
+        for plain in (name, unquote(name)):
+            found.update((plain, re.sub(r"^file:/+", "file:/", plain), re.sub(r"^file:/+", "file:///", plain)))
+    return sorted(found)
+
+
 def without(scan: DataFrame, documents: list[str]) -> DataFrame:
-    """A scan that leaves some documents out. They are ruled out by name when files are listed."""
-    return scan.where(~origin().isin(list(documents))) if documents else scan
+    """A scan that leaves some documents out. They are ruled out by name when files are listed, so that
+    they are not opened."""
+    return scan.where(~origin().isin(spellings(documents))) if documents else scan
 
 
 def only(scan: DataFrame, documents: list[str]) -> DataFrame:
-    return scan.where(origin().isin(list(documents)) if documents else F.lit(False))
+    """A scan of some documents, as `origin` names them."""
+    return scan.where(origin().isin(spellings(documents)) if documents else F.lit(False))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tidings.shared import materialize
-from tidings.sources.reading import empty, is_missing, origin
+from tidings.sources.reading import empty, is_missing, origin, spellings
 from tidings.sources.status import record_status
 
 #: Unreadable documents of one input that are left out one by one; with more, the input has failed.
@@ -88,7 +88,7 @@ class Staging:
         listed = (self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(location)
                   .select(origin().alias("origin")))
         counted = listed.join(record_status(staged.rows, usable), "origin", "left")
-        status = (F.when(F.col("origin").isin(staged.unreadable), F.lit("unreadable"))
+        status = (F.when(F.col("origin").isin(spellings(staged.unreadable)), F.lit("unreadable"))
                   .when(F.col("records").isNull(), F.lit("empty")).otherwise(F.lit(OK)))
         none = F.lit(0).cast("bigint")
         return counted.select(
