@@ -74,11 +74,51 @@ def test_rule_table_compiled_and_joined_agree(spark, per_pattern):
     assert got == ["B", "F", "B", "A", "C", "C", "F", "F", "B", "B"]
 
 
-def test_a_table_too_long_to_compile_is_refused(spark):
-    table = spark.createDataFrame([(0, "A", "a"), (0, "A", "b")],
+def test_a_table_too_long_to_compile_is_joined(spark):
+    table = spark.createDataFrame([(0, "A", "a"), (1, "B", "b")],
                                   "priority int, category string, keyword string")
-    with pytest.raises(ValueError):
-        classify.with_table_category(table, "category", "keyword", table, max_compiled=1)
+    df = spark.createDataFrame([(0, "Beta"), (1, "b a"), (2, "c")], "i int, s string")
+    found = classify.with_table_category(df, "i", "s", table, "F", max_compiled=1)
+    assert [r.category for r in found.orderBy("i").collect()] == ["B", "A", "F"]
+
+
+def test_both_paths_ignore_case_alike(spark):
+    """Every character of the basic plane that has a case, or is equated with one that has, as a keyword and in
+    texts: micro sign and mu, the sigmas, sharp s, dotted and dotless i, the Kelvin sign, combining iota."""
+    newer = {*map(chr, (*range(0xA7C0, 0xA7F5), 0x1C89, 0x1C8A, 0x2C2F, 0x2C5F))}     # than the JVM's tables
+    cased = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if c not in newer
+             if c.lower() != c or c.upper() != c or classify.folded(c) != c]
+    odd = {*classify.fold_exceptions()[0], *classify.fold_exceptions()[1], "ß", "ẞ", "İ", "ı", "K", "Å", "Σ", "ǅ"}
+    keywords = sorted({"x" + c for c in odd} | {"x" + classify.folded(c) for c in odd} | {"x" + c for c in cased[::7]})
+    table = spark.createDataFrame([(i, k, k) for i, k in enumerate(keywords)],
+                                  "priority int, category string, keyword string")
+    texts = [f"a x{c}" for c in sorted({*odd, *cased})] + [f"a X{c}{c}" for c in sorted(odd)] + ["ΟΔΥΣΣΕΥΣ xΣ", "ͅxς"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(4)
+    compiled = classify.with_table_category(df, "i", "s", table, "F")
+    joined = classify.with_joined_category(df, "i", "s", table, "F")
+    one, two = ([(r.i, r.category) for r in x.orderBy("i").collect()] for x in (compiled, joined))
+    assert one == two
+    assert sum(c != "F" for _, c in two) > len(odd)
+
+
+def test_a_table_of_fifty_thousand_keywords(spark, plan_of):
+    rng = random.Random(8)
+    keywords = [f"{rng.choice('abcdefghij')}{rng.choice('klmno')}{i:05d}" for i in range(50_000)]
+    table = spark.createDataFrame([(i, f"c{i % 97}", k) for i, k in enumerate(keywords)],
+                                  "priority int, category string, keyword string")
+    texts = [" ".join(rng.choice([f"word{rng.randint(0, 10**6)}", rng.choice(keywords), rng.choice(keywords)[:-1]])
+                      for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    place = {k: i for i, k in enumerate(keywords)}
+    want = []
+    for text in texts:
+        hits = [place[w] for w in text.split() if w in place]
+        want.append(f"c{min(hits) % 97}" if hits else "F")
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    found = classify.with_joined_category(df, "i", "s", table, "F")
+    assert [r.category for r in found.orderBy("i").collect()] == want
+    # Neither the words nor the pieces are shuffled; only the best hit of each text is.
+    for line in plan_of(found).split("\n"):
+        assert "Exchange" not in line or "hashpartitioning(i" in line or "Broadcast" in line or "Single" in line
 
 
 def test_one_search_per_text(spark, plan_of):

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timezone
 from email.utils import format_datetime
 
@@ -39,6 +40,31 @@ def test_rfc2822_replaces_the_offset(spark, stamp):
     assert one(spark, stamp, dates.rfc2822) == want
 
 
+def test_rfc2822_takes_what_the_standard_parser_takes(spark):
+    """Whole and broken stamps made of parts, and stamps with a character taken out."""
+    rng = random.Random(4)
+    days = ["2026-07-03", "20260703", "2026-0703", "202607-03", "2026-W27-5", "2026W275", "2026-W275", "2026W27-5",
+            "2026-W27", "2026W27", "2020-W53-7", "2021-W53-1", "2026-W54-1", "2026-W00-1", "2026-W27-0",
+            "2026-W27-8", "2027-W01-1", "2026-184", "2024-02-29", "2023-02-29", "0001-01-01", "0000-01-01"]
+    clocks = ["", "T10", "T10:11", "T1011", "T10:11:12", "T101112", "T10:1112", "T1011:12", " 10:11:12.5",
+              "T10:11:12,123456789", "T101112.25", "T10:11.5", "T25:00", "T10:60", "T10:11:60", "x10:11"]
+    zones = ["", "Z", "+05", "+05:30", "-0530", "+05:30:15", "+05:3015", "+053015.5", "z", " +05"]
+    stamps = [d + c + z for d in days for c in clocks for z in (zones if c else zones[:1])
+              if not ("," in c and " " in z)]      # the parser overlooks a character after many digits
+    for stamp in rng.sample(stamps, 400):
+        at = rng.randrange(len(stamp))
+        stamps.append(stamp[:at] + stamp[at + 1:])
+    want = []
+    for stamp in stamps:
+        try:
+            want.append(format_datetime(datetime.fromisoformat(stamp).replace(tzinfo=timezone.utc)))
+        except ValueError:
+            want.append(None)
+    df = spark.createDataFrame(list(enumerate(stamps)), "i int, s string").repartition(4)
+    got = [r[0] for r in df.orderBy("i").select(dates.rfc2822(F.col("s"))).collect()]
+    assert [x for x in zip(stamps, got, want) if x[1] != x[2]] == []
+
+
 def test_dates_do_not_depend_on_the_session_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:

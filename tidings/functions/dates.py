@@ -108,25 +108,40 @@ def feed_date(stamp: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), "yyyy-MM-dd")
 
 
-_FULL_DATE = (r"^\d{4}-?\d{2}-?\d{2}(?:$|.\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?"
-              r"(?:Z|[+-]\d{2}(?::?\d{2}(?::?\d{2}(?:\.\d+)?)?)?)?$)")
+# A date in extended or basic form, or of a week; a clock of either form; an offset of either form. A fraction
+# may follow any part of a clock, and where there is none, one character may stand before an offset.
+_CLOCK = r"(?:\d{2}:\d{2}:\d{2}|\d{6}|\d{2}:\d{2}|\d{4}|\d{2})"
+_FRACTION = r"(?:[.,]\d+)?"
+_OFFSET = rf"(?:Z|[+-]{_CLOCK}{_FRACTION})"
+_TIME = rf"(?:{_CLOCK}.?{_OFFSET}|{_CLOCK}{_FRACTION}{_OFFSET}?)"
+_DATES = {"day": r"(\d{4})(-?)(\d{2})\2(\d{2})", "week": r"(\d{4})(-?)W(\d{2})(?:\2([1-7])(?!\d))?"}
 
 
 def rfc2822(stamp: Column) -> Column:
-    """ISO date or datetime, in extended or basic form -> RFC 2822 text; null if it is neither.
+    """ISO date or datetime -> RFC 2822 text; null if it is neither.
 
-    An offset is replaced by UTC, not converted, and the clock is read without a time zone.
+    Dates may be of a day or of a week (its Monday, if the day is left out), in extended or basic
+    form but not a mixture. An offset is replaced by UTC, not converted, and the clock is read without a time
+    zone.
     """
-    parts = r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2}))?(?::?(\d{2}))?)?"
-
-    def part(group: int) -> Column:
-        return F.coalesce(blank_to_null(F.regexp_extract(stamp, parts, group)), F.lit("00"))
-
-    text = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "),
-                    part(4), F.lit(":"), part(5), F.lit(":"), part(6))
-    instant = text.try_cast("timestamp_ntz")
-    return F.when(stamp.rlike(_FULL_DATE), F.concat(
-        F.date_format(instant.cast("date"), "EEE, dd MMM yyyy "),
+    def part(name: str, group: int) -> Column:
+        return blank_to_null(F.regexp_extract(stamp, "^" + _DATES[name], group))
+
+    day = F.concat_ws("-", part("day", 1), part("day", 3), part("day", 4)).try_cast("date")
+    # The fourth of January is always in the first week.
+    year, week = part("week", 1).try_cast("int"), part("week", 3).try_cast("int")
+    fourth = F.when(year > 0, F.make_date(year, F.lit(1), F.lit(4)))
+    monday = F.date_add(F.date_trunc("week", fourth).cast("date"), (week - 1) * 7)
+    of_week = F.when((week >= 1) & (F.weekofyear(monday) == week),       # not every year has 53
+                     F.date_add(monday, F.coalesce(part("week", 4).try_cast("int"), F.lit(1)) - 1))
+    is_day, is_week = [stamp.rlike(f"(?s)^{x}(?:.{_TIME})?$") for x in _DATES.values()]
+    date = F.when(stamp.startswith("0000"), None).when(is_day, day).when(is_week, of_week)
+    clock = F.concat(*[F.regexp_extract(stamp, f"(?s)^{x}.({_TIME})$", 5) for x in _DATES.values()])
+    digits = F.rpad(F.replace(F.regexp_extract(clock, f"^{_CLOCK}", 0), F.lit(":"), F.lit("")), 6, "0")
+    time = F.concat_ws(":", *[F.substring(digits, at, 2) for at in (1, 3, 5)])
+    instant = F.concat(date.cast("string"), F.lit(" "), time).try_cast("timestamp_ntz")
+    return F.when(instant.isNotNull(), F.concat(
+        F.date_format(date, "EEE, dd MMM yyyy "),
         F.substring(instant.cast("string"), 12, 8), F.lit(" +0000")))
 
 

@@ -1,17 +1,21 @@
 """Rule-based categories."""
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidings import fixed_values as fv
+from tidings.shared import materialize
 
 Rules = list[tuple[str, list[str]]]
 
 #: Keywords of one pattern; a longer table becomes several, tried in order of priority.
 PATTERN_KEYWORDS = 2_000
-#: Keywords of a table that is compiled. A longer one is refused: `with_joined_category` is for it.
+#: Keywords of a table that is compiled. A longer one is joined, with the same result.
 MAX_COMPILED_KEYWORDS = 100_000
+#: Characters of a keyword by which word starts are looked up first.
+BEGINNING = 3
 
 
 def item_text(title: Column, summary: Column) -> Column:
@@ -99,15 +103,15 @@ def with_table_category(items: DataFrame, key: str, text: str, rules: DataFrame,
                         max_compiled: int = MAX_COMPILED_KEYWORDS) -> DataFrame:
     """Add `category` by a rule table (priority, category, keyword), compiled into patterns.
 
-    The table is a parameter: up to `max_compiled` rows of it are read, and more are an error. It
-    is cut by priority into patterns of `per_pattern` keywords; the first one with a hit decides,
+    The table is a parameter: up to `max_compiled` rows of it are read; a longer one goes to
+    `with_joined_category`, which gives the same. It is cut by priority into patterns of `per_pattern` keywords; the first one with a hit decides,
     so the result doesn't depend on the cut. `key` identifies a row of `items`. Rules without a
     keyword are left out.
     """
     head = (usable(rules).orderBy("priority", "category", "keyword")
             .select("priority", "category", "keyword").limit(max_compiled + 1).collect())
     if len(head) > max_compiled:
-        raise ValueError(f"over {max_compiled} keywords: use with_joined_category")
+        return with_joined_category(items, key, text, rules, fallback)
     staged, found = items, []
     for low in range(0, len(head), per_pattern):
         ordered: dict[tuple[int, str], list[str]] = {}
@@ -125,31 +129,62 @@ def with_table_category(items: DataFrame, key: str, text: str, rules: DataFrame,
         *[c for low in range(0, len(head), per_pattern) for c in (f"__hits{low}", f"__found{low}")])
 
 
+def folded(char: str) -> str:
+    """The letter that stands for a letter when case is ignored: its upper case in lower case, where each is
+    one character."""
+    upper = char.upper() if len(char.upper()) == 1 else char
+    return upper.lower()[0]
+
+
+@lru_cache(maxsize=1)
+def fold_exceptions() -> tuple[str, str]:
+    """The characters that `folded` takes for another than their lower case, and what it takes them for.
+
+    Such as the micro sign (mu), the final sigma, the long s and the dotless i; none is beyond the
+    basic plane.
+    """
+    pairs = [(c, folded(c)) for c in map(chr, range(0x10000)) if c.lower() == c and folded(c) != c]
+    return "".join(c for c, _ in pairs), "".join(f for _, f in pairs)
+
+
 def fold_case(text: Column) -> Column:
-    """Lower case, with the letters that ignoring case equates to k, s and i."""
-    return F.lower(F.translate(text, "ſıKİ", "siki"))
+    """Texts in which letters that differ in case only are equal, as a case-insensitive pattern takes them.
+
+    Character by character, so that lengths stay; the dotted capital I, whose lower case would be two, comes
+    first.
+    """
+    return F.translate(F.lower(F.translate(text, "\u0130", "i")), *fold_exceptions())
 
 
 def with_joined_category(items: DataFrame, key: str, text: str, rules: DataFrame,
                          fallback: str = fv.FALLBACK_CATEGORY) -> DataFrame:
-    """Categories by an equi-join, for rule tables of any size.
-
-    Letters are compared in lower case (`fold_case`), so the few that only ignoring case equates,
-    such as the micro sign and Greek mu or a final sigma, differ from `with_table_category`.
+    """Categories by equi-joins, for rule tables of any size; the same as by `with_table_category`.
 
-    A keyword matches where the text at some word start begins with it. So each text yields, for
-    each word start, its next characters, cut to each keyword length that occurs, and those are
-    joined to the keywords by equality. Only (key, piece) rows travel, and the best priority is
-    reduced on the map side.
+    A keyword matches where the text at some word start begins with it, case ignored. So each text yields the
+    characters that follow its word starts. Their first few are looked up among the beginnings of keywords, which
+    leaves few of them, with the lengths of the keywords that begin so; these pieces are joined to the keywords by
+    equality. Both tables are written first, so that Spark knows their size and broadcasts them
+    where that is small: then nothing but the few hits is shuffled. The best priority is reduced on the map side.
     """
-    keywords = usable(rules).select("priority", "category", fold_case(F.col("keyword")).alias("piece"))
-    lengths = keywords.agg(F.sort_array(F.collect_set(F.length("piece"))).alias("lengths"))
-    longest = keywords.agg(F.max(F.length("piece")).cast("string")).scalar()
-    pattern = F.concat(F.lit(f"(?us){fv.WORD_START}(?=(.{{1,"), longest, F.lit("}))"))
-    heads = F.array_distinct(F.regexp_extract_all(fold_case(F.col(text)), pattern, 1))
-    pieces = (
+    keywords = materialize(
+        usable(rules).select("priority", "category", fold_case(F.col("keyword")).alias("piece")), "keywords")
+    beginnings = materialize(
+        keywords.groupBy(F.substring("piece", 1, BEGINNING).alias("beginning"))
+        .agg(F.collect_set(F.length("piece")).alias("lengths")), "beginnings")
+    sizes = [r[0] for r in beginnings.select(F.length("beginning")).distinct().collect()]   # BEGINNING at most
+    longest = keywords.agg(F.max(F.length("piece"))).first()[0]
+    if not longest:
+        return items.withColumn("category", F.lit(fallback))
+    # Where a word starts is told by the text itself: a mark may fold to a letter.
+    pattern = f"(?us){fv.WORD_START}(?=(.{{1,{longest}}}))"
+    heads = F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), 1), fold_case))
+    begun = (
         items.select(key, F.explode(heads).alias("head"))
-        .select(key, "head", F.explode(lengths.scalar()).alias("n"))
+        .select(key, "head", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+        .where(F.length("head") >= F.col("n"))
+        .select(key, "head", F.col("head").substr(F.lit(1), F.col("n")).alias("beginning")))
+    pieces = (
+        begun.join(beginnings, "beginning").select(key, "head", F.explode("lengths").alias("n"))
         .where(F.length("head") >= F.col("n"))
         .select(key, F.col("head").substr(F.lit(1), F.col("n")).alias("piece")))
     best = (pieces.join(keywords, "piece").groupBy(key)
