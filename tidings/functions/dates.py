@@ -114,7 +114,11 @@ _CLOCK = r"(?:\d{2}:\d{2}:\d{2}|\d{6}|\d{2}:\d{2}|\d{4}|\d{2})"
 _FRACTION = r"(?:[.,]\d+)?"
 _OFFSET = rf"(?:Z|[+-]{_CLOCK}{_FRACTION})"
 _TIME = rf"(?:{_CLOCK}.?{_OFFSET}|{_CLOCK}{_FRACTION}{_OFFSET}?)"
-_DATES = {"day": r"(\d{4})(-?)(\d{2})\2(\d{2})", "week": r"(\d{4})(-?)W(\d{2})(?:\2([1-7])(?!\d))?"}
+# Groups of each: year, separator, month or week, day. In the basic form of a week, digits that follow are the
+# day and then an odd number, or the clock.
+_DAY = r"(\d{4})(-?)(\d{2})\2(\d{2})"
+_WEEKS = (r"(\d{4})(-)W(\d{2})(?:-([1-7])(?!\d))?",
+          r"(\d{4})()W(\d{2})(?:([1-7])(?=(?:\d(?:\d\d)*)?(?!\d)))?")
 
 
 def rfc2822(stamp: Column) -> Column:
@@ -124,19 +128,25 @@ def rfc2822(stamp: Column) -> Column:
     form but not a mixture. An offset is replaced by UTC, not converted, and the clock is read without a time
     zone.
     """
-    def part(name: str, group: int) -> Column:
-        return blank_to_null(F.regexp_extract(stamp, "^" + _DATES[name], group))
+    def part(pattern: str, group: int) -> Column:
+        return blank_to_null(F.regexp_extract(stamp, "^" + pattern, group))
 
-    day = F.concat_ws("-", part("day", 1), part("day", 3), part("day", 4)).try_cast("date")
+    def week_part(group: int) -> Column:
+        return F.coalesce(*[part(x, group) for x in _WEEKS]).try_cast("int")
+
+    def matches(pattern: str) -> Column:
+        return stamp.rlike(f"(?s)^{pattern}(?:.{_TIME})?$")
+
+    day = F.concat_ws("-", part(_DAY, 1), part(_DAY, 3), part(_DAY, 4)).try_cast("date")
     # The fourth of January is always in the first week.
-    year, week = part("week", 1).try_cast("int"), part("week", 3).try_cast("int")
+    year, week = week_part(1), week_part(3)
     fourth = F.when(year > 0, F.make_date(year, F.lit(1), F.lit(4)))
     monday = F.date_add(F.date_trunc("week", fourth).cast("date"), (week - 1) * 7)
     of_week = F.when((week >= 1) & (F.weekofyear(monday) == week),       # not every year has 53
-                     F.date_add(monday, F.coalesce(part("week", 4).try_cast("int"), F.lit(1)) - 1))
-    is_day, is_week = [stamp.rlike(f"(?s)^{x}(?:.{_TIME})?$") for x in _DATES.values()]
-    date = F.when(stamp.startswith("0000"), None).when(is_day, day).when(is_week, of_week)
-    clock = F.concat(*[F.regexp_extract(stamp, f"(?s)^{x}.({_TIME})$", 5) for x in _DATES.values()])
+                     F.date_add(monday, F.coalesce(week_part(4), F.lit(1)) - 1))
+    date = (F.when(stamp.startswith("0000"), None).when(matches(_DAY), day)
+            .when(matches(_WEEKS[0]) | matches(_WEEKS[1]), of_week))
+    clock = F.coalesce(*[part(f"(?s){x}.({_TIME})$", 5) for x in (_DAY, *_WEEKS)], F.lit(""))
     digits = F.rpad(F.replace(F.regexp_extract(clock, f"^{_CLOCK}", 0), F.lit(":"), F.lit("")), 6, "0")
     time = F.concat_ws(":", *[F.substring(digits, at, 2) for at in (1, 3, 5)])
     instant = F.concat(date.cast("string"), F.lit(" "), time).try_cast("timestamp_ntz")
