@@ -304,23 +304,108 @@ def test_json_interchange(spark, tmp_path):
     assert st.read_ledger_json(spark, str(tmp_path / "absent")).count() == 0
 
 
-def test_bucketed_ledger_is_joined_in_place(spark, plan_of):
+@pytest.mark.parametrize("partitions", ["3", "8"])
+def test_the_ledger_is_joined_in_place(spark, tmp_path, plan_of, partitions):
+    """Only the batch is shuffled, to the ledger's buckets."""
     from tidings.operators.ledger import assign_first_seen
-    seen = spark.createDataFrame([(f"i{n}", "2026-01-01") for n in range(50)],
-                                 "id string, first_seen string")
-    st.write_bucketed(seen, "ledger_bucketed", 4)
-    table = spark.table("ledger_bucketed")
-    batch = stored(spark, [item("i1", "2026-07-01"), item("new", "2026-07-01")])
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    store = st.Store(str(tmp_path / "s"), ledger_buckets=8)
+    assert store.ledger(spark).count() == 0
+    for low in (0, 40):
+        store.append_ledger(spark.createDataFrame([(f"i{n}", f"2026-01-0{low // 40 + 1}") for n in range(low, low + 50)],
+                                                  "id string, first_seen string"))
+    assert store.ledger(spark).count() == 100
+    batch = materialize(stored(spark, [item("i1", "2026-07-01"), item("i45", "2026-07-01"), item("new", "2026-07-01")]), "b")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(x) for x in names]
+    for name, value in zip(names, ("-1", partitions), strict=True):
+        spark.conf.set(name, value)
     try:
-        dated = assign_first_seen(batch.repartition(3), table, "2026-07-30")
-        scan = plan_of(dated).split("FileScan")[0]
-        assert "Exchange" not in scan[scan.rindex("SortMergeJoin"):].split("\n")[1]
+        dated = assign_first_seen(batch, store.ledger(spark), "2026-07-30")
+        plan = plan_of(dated)
+        lines = plan.split("\n")
+        scan = next(i for i, line in enumerate(lines) if "SelectedBucketsCount" in line or "Bucketed: true" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        above, level = [], depth(lines[scan])
+        for line in reversed(lines[:scan]):
+            if depth(line) < level:
+                above.append(line)
+                level = depth(line)
+        first_join = next(i for i, line in enumerate(above) if "Join" in line)
+        assert not any("Exchange" in line for line in above[:first_join + 1])
         assert {r.id: r.first_seen for r in dated.collect()} == {
-            "i1": "2026-01-01", "new": "2026-07-30"}
+            "i1": "2026-01-01", "i45": "2026-01-01", "new": "2026-07-30"}
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
+def test_a_ledger_is_compacted_and_old_generations_go(spark, tmp_path, monkeypatch):
+    store = st.Store(str(tmp_path / "s"), ledger_buckets=2)
+    add = lambda *rows: store.append_ledger(spark.createDataFrame(rows, "id string, first_seen string"))
+    add(("a", "2026-01-02"), ("b", "2026-01-02"))
+    add(("a", "2026-01-01"), ("c", "2026-01-03"))
+    reader = store.ledger(spark)
+    monkeypatch.setattr(st, "MAX_BUCKET_FILES", 1)
+    assert store.vacuum(spark) == []                   # compacted; the old files stay for their readers
+    want = [("a", "2026-01-01"), ("b", "2026-01-02"), ("c", "2026-01-03")]
+    assert sorted(map(tuple, store.ledger(spark).collect())) == want
+    assert reader.count() == 4
+    add(("d", "2026-01-04"))
+    monkeypatch.setattr(st, "MAX_BUCKET_FILES", 100)
+    assert [p.rsplit("/", 1)[1] for p in store.vacuum(spark, 0)] == ["ledger-0-2"]
+    assert sorted(map(tuple, st.Store(store.root).ledger(spark).collect())) == [*want, ("d", "2026-01-04")]
+    (tmp_path / "s/ledger-2-2").mkdir()                # a compaction that died
+    assert store.ledger(spark).count() == 4
+
+
+def test_a_ledger_of_an_earlier_version_is_taken_over(spark, tmp_path):
+    store = st.Store(str(tmp_path / "s"))
+    old = spark.createDataFrame([("a", "2026-01-01")], "id string, first_seen string")
+    old.write.parquet(store.path("ledger"))
+    assert store.ledger(spark).count() == 1
+    store.append_ledger(spark.createDataFrame([("b", "2026-01-02")], "id string, first_seen string"))
+    assert sorted(map(tuple, store.ledger(spark).collect())) == [("a", "2026-01-01"), ("b", "2026-01-02")]
+
+
+def test_a_large_json_ledger_is_read_by_many_tasks(spark, tmp_path):
+    """Escapes, braces, commas and quotes in ids; the object is split at its lines."""
+    odd = ['a"b', "{x}", "}", "{", "a,b", '","', "tab\there", "line\nbreak", "é\u2028", "\\", '\\"', ""]
+    seen = {**{i: "2026-01-01" for i in odd}, **{f"{n:016x}": f"2026-{n % 12 + 1:02d}-01" for n in range(20_000)}}
+    for indent, name in ((2, "a"), (0, "b"), (None, "c")):
+        (tmp_path / f"{name}.json").write_text(json.dumps(seen, indent=indent, ensure_ascii=False), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        for name in "ab":
+            rows = st.read_ledger_json(spark, str(tmp_path / f"{name}.json"))
+            assert rows.rdd.getNumPartitions() > 8
+            assert {r.id: r.first_seen for r in rows.collect()} == seen
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for whole in (True, False):                        # all on one line
+        rows = st.read_ledger_json(spark, str(tmp_path / "c.json"), whole)
+        assert {r.id: r.first_seen for r in rows.collect()} == seen
+    (tmp_path / "d.json").write_text('{\n"a":\n"2026-01-01"\n}')
+    with pytest.raises(Exception, match="no whole entries"):
+        st.read_ledger_json(spark, str(tmp_path / "d.json")).collect()
+    assert st.read_ledger_json(spark, str(tmp_path / "d.json"), whole=True).count() == 1
+    (tmp_path / "e.json").write_text("{}\n")
+    assert st.read_ledger_json(spark, str(tmp_path / "e.json")).count() == 0
+
+
+def test_stores_are_written_newest_first(spark, tmp_path):
+    store = st.Store(str(tmp_path / "s"))
+    rows = [item(f"i{n}", f"2026-07-{n * 7 % 28 + 1:02d}" if n % 5 else None, first_seen=f"2026-06-{n % 9 + 1:02d}")
+            for n in range(60)]
+    items = stored(spark, rows).repartition(5)
+    path = store.write_live(items, 1)
+    sinks.write_site(items, str(tmp_path / "site"), "2026-07-30T00:00:00+00:00")
+    keys = sorted(((r[5] or r[6], -p) for p, r in enumerate(rows)), reverse=True)
+    want = [rows[-p][0] for _, p in keys]
+    for folder, read in ((path, lambda p: [r.id for r in spark.read.parquet(p).collect()]),
+                         (str(tmp_path / "site"), lambda p: [json.loads(x)["id"] for x in open(p, encoding="utf-8")])):
+        files = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+        assert [i for f in files for i in read(f"{folder}/{f}")] == want
 
 
 def test_feed_rows_and_document(spark, tmp_path):

@@ -1,6 +1,6 @@
 """Views and feed rows over the item stores."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidings import fixed_values as fv
 from tidings.functions.dates import iso_date, rfc2822, sort_key
@@ -50,6 +50,11 @@ def feed_entries(items: DataFrame, limit: int = fv.FEED_ITEMS,
         rfc2822(blank_to_null(F.col("sk"))).alias("pubDate"))
 
 
+def newest_first(order: list[str] = ORDER_COLUMNS) -> list[Column]:
+    """The order of published items: newest first, ties in insertion order."""
+    return [F.desc(sort_key(F.col("published"), F.col("first_seen"))), *map(F.asc, order)]
+
+
 def site_items(items: DataFrame, generated_at: str) -> DataFrame:
     """The items as published, stamped with the time of the build."""
     return items.withColumn("generated_at", F.lit(generated_at))

@@ -19,6 +19,12 @@ def children(spark: SparkSession, path: str) -> dict[str, int]:
     return {s.getPath().getName(): s.getModificationTime() for s in system.listStatus(where)}
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, whatever the working directory of who reads it."""
+    system, where = _located(spark, path)
+    return system.makeQualified(where).toString()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or a folder and what is in it; nothing happens if it isn't there."""
     system, where = _located(spark, path)

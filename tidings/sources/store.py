@@ -3,7 +3,7 @@
 Layout below one root folder:
 
     live/<batch>/       items of one run; never rewritten
-    ledger/             (id, first_seen), append only
+    ledger-<g>-<n>/     (id, first_seen) in n buckets by id, append only; generation g
     archive/            items by version and month; an upsert writes the months it touches anew,
                         as one version, and leaves all earlier files as they are
     commits/            (version, month, count, at) of every finished upsert
@@ -20,16 +20,23 @@ upsert or nothing of it, and an upsert that died is written over by the next. On
 is assumed. A version that was replaced stays for `retain_hours`, for readers that were planned before,
 and goes with the next `vacuum`, which every run ends with.
 
+The ledger is joined where it lies: its files are buckets of a table that each session registers for the
+folder, so a batch too large to be broadcast is shuffled to the buckets, and the ledger never is. A vacuum
+writes a ledger of many files anew, sorted, as the next generation; the last generation that was finished counts.
+
 Each archived item has a digest of its content in a column of its own. (month, id, digest) and the places
 are the archive's index: a narrow scan of the same files, committed with them.
 """
 
+import hashlib
+import re
 import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidings.operators import archive as ar
+from tidings.operators.publish import newest_first
 from tidings.schema import (
     ARCHIVE_INDEX, ARCHIVED_ITEM, COMMIT, ITEM, ITEM_COLUMNS, LEDGER, RUN, STORED_ITEM, VERSIONED_ITEM,
 )
@@ -37,14 +44,17 @@ from tidings.sources import files
 from tidings.sources.reading import empty, read_or_empty
 
 
-#: Files of the commit record from which on a vacuum writes them as one.
-MAX_COMMIT_FILES = 10
+#: Files of the commit record, and files per bucket of the ledger, beyond which a vacuum writes them anew.
+MAX_COMMIT_FILES, MAX_BUCKET_FILES = 10, 10
 
 
 @dataclass(frozen=True)
 class Store:
     root: str
     retain_hours: float = 7 * 24
+    #: Buckets of a new ledger, 32 or the shuffle partitions of the session that makes it if there are more. With
+    #: fewer buckets than shuffle partitions Spark would rather shuffle the ledger too.
+    ledger_buckets: int | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -57,14 +67,38 @@ class Store:
         return self.runs(spark).orderBy(F.desc("batch")).limit(1).first()
 
     def live(self, spark: SparkSession) -> DataFrame:
-        """Live items as of the last finished run."""
+        """Live items as of the last finished run; `newest_first` is the order they were written in."""
         last = self.last_run(spark)
         if last is None:
             return empty(spark, STORED_ITEM)
         return spark.read.schema(STORED_ITEM).parquet(last["live_path"])
 
+    def _ledgers(self, spark: SparkSession) -> list[tuple[int, int]]:
+        """(generation, buckets) of the ledgers that were finished."""
+        found = []
+        for name in files.children(spark, self.root):
+            parts = re.fullmatch(r"ledger-(\d+)-(\d+)", name)
+            if parts and "_SUCCESS" in files.children(spark, self.path(name)):
+                found.append((int(parts[1]), int(parts[2])))
+        return sorted(found)
+
+    def _ledger_table(self, spark: SparkSession, generation: int, buckets: int) -> str:
+        """The name of the bucketed table over a ledger's folder, registered anew if this session doesn't
+        know it, with the files that are there now."""
+        path = files.qualified(spark, self.path(f"ledger-{generation}-{buckets}"))
+        name = "tidings_ledger_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+        location = path.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (id STRING, first_seen STRING) USING parquet "
+                  f"CLUSTERED BY (id) SORTED BY (id) INTO {buckets} BUCKETS LOCATION '{location}'")
+        spark.catalog.refreshTable(name)
+        return name
+
     def ledger(self, spark: SparkSession) -> DataFrame:
-        return read_or_empty(spark, self.path("ledger"), LEDGER)
+        """(id, first_seen) of every item ever encountered; an id may be there twice."""
+        ledgers = self._ledgers(spark)
+        if ledgers:
+            return spark.table(self._ledger_table(spark, *ledgers[-1]))
+        return read_or_empty(spark, self.path("ledger"), LEDGER)     # as an earlier version wrote it
 
     def commits(self, spark: SparkSession) -> DataFrame:
         return read_or_empty(spark, self.path("commits"), COMMIT)
@@ -101,14 +135,38 @@ class Store:
         return empty(spark, ARCHIVE_INDEX) if rows is None else rows.select(*ARCHIVE_INDEX.fieldNames())
 
     def write_live(self, items: DataFrame, batch: int) -> str:
+        """Newest first, ties in insertion order: the files of the folder in the order of their names."""
         path = self.path(f"live/{batch:012d}")
-        items.select(*STORED_ITEM.fieldNames()).write.mode("overwrite").parquet(path)
+        (items.select(*STORED_ITEM.fieldNames()).orderBy(*newest_first()).write.mode("overwrite")
+         .parquet(path))
         return path
 
     def append_ledger(self, additions: DataFrame) -> None:
-        """Append in files of a good size: the ledger is scanned whole by every run."""
-        (additions.select(*LEDGER.fieldNames()).hint("rebalance")
-         .write.mode("append").parquet(self.path("ledger")))
+        """Append to the buckets, one file a bucket. A run that dies and is run again may append ids twice."""
+        spark = additions.sparkSession
+        rows = additions.select(*LEDGER.fieldNames())
+        ledgers = self._ledgers(spark)
+        if ledgers:
+            self._write_ledger(rows, *ledgers[-1])
+        else:
+            self._write_ledger(self.ledger(spark).unionByName(rows), 0, self._buckets(spark))
+
+    def _buckets(self, spark: SparkSession) -> int:
+        return self.ledger_buckets or max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def _write_ledger(self, rows: DataFrame, generation: int, buckets: int) -> None:
+        name = self._ledger_table(rows.sparkSession, generation, buckets)
+        rows.repartition(buckets, "id").sortWithinPartitions("id").write.insertInto(name)
+
+    def compact_ledger(self, spark: SparkSession) -> None:
+        """Write the ledger anew: an id once, a sorted file a bucket, in more buckets if the session has more shuffle
+        partitions. Readers of the old files go on."""
+        ledgers = self._ledgers(spark)
+        if ledgers:
+            generation, buckets = ledgers[-1][0], max(ledgers[-1][1], self._buckets(spark))
+            files.delete(spark, self.path(f"ledger-{generation + 1}-{buckets}"))      # of a run that died
+            once = self.ledger(spark).groupBy("id").agg(F.min("first_seen").alias("first_seen"))
+            self._write_ledger(once, generation + 1, buckets)
 
     def upsert_archive(self, incoming: DataFrame) -> None:
         """Merge `incoming` (with `month`) into its months; other months are not read or written."""
@@ -161,7 +219,23 @@ class Store:
             self._append_commits(spark.createDataFrame(sorted(keep, key=repr), COMMIT))
             for name in log:
                 files.delete(spark, self.path(f"commits/{name}"))
-        return [x for x in deleted if x] + self._vacuum_live(spark, before)
+        return ([x for x in deleted if x] + self._vacuum_live(spark, before)
+                + self._vacuum_ledger(spark, before))
+
+    def _vacuum_ledger(self, spark: SparkSession, before: int) -> list[str]:
+        """Compact a ledger of many files; earlier generations go when their successor is old enough."""
+        ledgers = self._ledgers(spark)
+        if ledgers and len(files.children(spark, self.path("ledger-%d-%d" % ledgers[-1]))) > (
+                MAX_BUCKET_FILES * ledgers[-1][1]):
+            self.compact_ledger(spark)
+            ledgers = self._ledgers(spark)
+        gone = []
+        for earlier, later in zip(ledgers, ledgers[1:], strict=False):
+            finished = files.children(spark, self.path("ledger-%d-%d" % later))["_SUCCESS"]
+            if finished < before:
+                gone.append(self.path("ledger-%d-%d" % earlier))
+                files.delete(spark, gone[-1])
+        return gone
 
     def _drop_month(self, spark: SparkSession, version: int, month: str | None) -> str | None:
         folder = self.path(f"archive/version={version}")
@@ -227,24 +301,33 @@ def read_items_json(spark: SparkSession, path: str, arrays: bool = False) -> Dat
         F.monotonically_increasing_id().alias("pos"))
 
 
-def read_ledger_json(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger from a JSON object {id: first_seen} per file; missing = empty."""
-    text = read_or_empty(spark, path, "value string", "text", wholetext=True)
-    entries = F.explode(F.from_json("value", "map<string,string>"))
-    return text.select(entries.alias("id", "first_seen"))
+def read_ledger_json(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Ledger from a JSON object {id: first_seen} per file; missing = empty.
+
+    The object has an entry, or several, a line, as JSON is written with an indent; a line break never stands
+    within a string. Every line is parsed for itself, so many tasks read an object of any size.
+    An entry that is spread over lines is an error, not a loss. `whole` reads objects of any form, each in one
+    row.
+    """
+    def entries(text):
+        return F.from_json(text, "map<string,string>")
+
+    lines = read_or_empty(spark, path, "value string", "text", wholetext=whole)
+    if whole:
+        return lines.select(F.explode(entries(F.col("value"))).alias("id", "first_seen"))
+    text = F.btrim("value", F.lit(" \t\r"))
+    inner = F.regexp_replace(F.regexp_replace(text, r"^\{", ""), r",$", "")
+    inner = F.when(inner.rlike(r"^\s*\}?$"), F.lit("")).otherwise(inner)
+    parsed = entries(F.concat(F.lit("{"), inner, F.lit("}")))
+    # The braces of the object around the entries: one that closes it may follow the last entry.
+    parsed = F.when(inner == "", F.create_map().cast("map<string,string>")).otherwise(parsed)
+    broken = F.raise_error(F.concat(F.lit("no whole entries in the line: "), F.substring("value", 1, 200)))
+    checked = F.when(parsed.isNull() | F.exists(F.map_values(parsed), lambda x: x.isNull()),
+                     broken.cast("map<string,string>")).otherwise(parsed)
+    return lines.select(F.explode(checked).alias("id", "first_seen"))
 
 
 def write_items_json(items: DataFrame, path: str) -> None:
     """Items as JSON lines in UTF-8, non-ASCII characters as they are, null fields as null."""
     (items.select(*ITEM_COLUMNS).write.mode("overwrite").option("ignoreNullFields", "false")
      .json(path))
-
-
-def write_bucketed(df: DataFrame, table: str, buckets: int, key: str = "id") -> None:
-    """Append to a catalog table bucketed and sorted by `key`.
-
-    For a ledger or archive too large to shuffle on each run: joins on `key` read the buckets in
-    place and only the batch moves.
-    """
-    (df.write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key)
-     .saveAsTable(table))
