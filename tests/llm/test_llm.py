@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -205,6 +206,58 @@ def test_jaccard_chain_and_hot_group(spark):
     assert got == brute_components(texts, 3, 85, 100)
 
 
+def test_jaccard_rows_that_share_an_id(spark):
+    """Each text of an id links it; the texts of an id are one document."""
+    rng = random.Random(19)
+    a, b, c, d = [" ".join(f"{x}{rng.randint(0, 9999)}" for _ in range(60)) for x in "abcd"]
+    got = lambda rows: sorted({
+        (r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(
+            spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100).collect()}, key=repr)
+    assert got([(5, a), (5, b), (7, b + " more")]) == [(5, 5), (7, 5)]
+    assert got([(5, b), (5, a), (7, b + " more"), (3, a + " else"), (9, c)]) == [
+        (3, 3), (5, 3), (7, 3), (9, 9)]
+    assert got([(None, d), (4, d + " more"), (None, c)]) == sorted(
+        [(None, 4), (4, 4), (None, None)], key=repr)
+
+
+def test_jaccard_region_of_many_unlinked_documents(spark):
+    """2,000 documents share a passage, and so regions, but only some pairs are linked."""
+    rng = random.Random(20)
+    shared = " ".join(f"p{i}" for i in range(30))
+    texts = [shared + " " + " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(1960)]
+    near = [texts[i] + " tail" for i in range(0, 40)]
+    texts += near
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"]
+           for r in jaccard.jaccard_components(df, 3, 90, 100).collect()}
+    assert got == {i: i - 1960 if i >= 1960 else i for i in range(2000)}
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(21)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000 + i, 1000) for i in range(1, 50)] + [(7, 7), (5000, 4000)]
+    rng.shuffle(edges)
+    links = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r["id"]: r["component"] for r in jaccard.components(links).collect()}
+    want = {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1050), 1000), 4000: 4000, 5000: 4000}
+    assert got == want
+    assert jaccard.components(links.limit(0)).count() == 0
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rng = random.Random(22)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[0] + " x"), (3, texts[1]), (None, texts[1]), (None, texts[2]),
+            (4, None), (4, None), (5, ""), (1, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns(
+        {c: F.lit("mine") for c in ("__row", "doc", "version", "row", "h1", "first")})
+    got = jaccard.one_of_each(docs, 5, 80, 100)
+    assert got.columns == docs.columns
+    assert sorted((repr((r["doc_id"], r["text"])), r["doc"], r["version"], r["__row"]) for r in got.collect()) == [
+        (repr(x), "mine", "mine", "mine") for x in sorted(
+            [rows[0], rows[3], rows[5], *rows[6:]], key=repr)]
+
+
 def test_jaccard_edges(spark):
     rows = jaccard.jaccard_components(frame(spark, ODD, True), 3, 90, 100).collect()
     assert len(rows) == len(ODD)
@@ -281,6 +334,33 @@ def test_maximal_segments():
         assert all(i in inside for i, s in enumerate(scores) if s > 0)
 
 
+def test_maximal_segments_by_definition_and_in_linear_time():
+    """The best run of all, then the best ones of what lies before and after it; and long falling totals."""
+    def by_definition(scores, first=0):
+        best = max(((sum(scores[a:b]), a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)),
+                   default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        _, a, b = best
+        return [*by_definition(scores[:a], first), (first + a, first + b),
+                *by_definition(scores[b:], first + b)]
+    rng = random.Random(23)
+    for _ in range(200):
+        scores = [rng.choice([-3, -2, -1, 1, 2, 3]) + rng.random() / 8 for _ in range(rng.randint(1, 18))]
+        assert sorted((a, b) for a, b, _ in segments.maximal_segments(scores)) == by_definition(scores)
+    start = time.perf_counter()
+    assert len(segments.maximal_segments([1.0, -2.0] * 100_000)) == 100_000
+    assert len(segments.maximal_segments([2.0, -1.0] * 100_000)) == 1
+    assert time.perf_counter() - start < 5
+
+
+def test_rows_without_an_id_are_in_no_fold(spark):
+    from tidings.llm.queries import fold
+    rows = spark.createDataFrame([(None,), (1,), (10,)], "doc_id bigint")
+    assert [r[0] for r in rows.select(fold(5, zlib.crc32(b"1") % 5)).collect()] == [
+        False, True, zlib.crc32(b"10") % 5 == zlib.crc32(b"1") % 5]
+
+
 def test_toxic_segments(spark):
     rng = random.Random(12)
     prose = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
@@ -500,6 +580,11 @@ def test_pipeline_decides_each_row_for_itself(spark, tmp_path):
     assert after(corpus_pipeline.quality_rules, [*clean, (6, "short"), (None, "short")]) == Counter(clean)
     copies = [(None, prose[80]), (90, prose[0] + " more"), (None, prose[1])]
     assert after(corpus_pipeline.near_duplicates, [*copies, *clean]) == Counter(clean)
+    named = at(clean).withColumns({c: F.lit("mine") for c in ("__row", "row", "lang_", "middle", "kept", "c0")})
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        rows = stage(spark, named, str(tmp_path))
+        assert rows.columns == named.columns
+        assert {(r["row"], r["__row"], r["kept"]) for r in rows.collect()} == {("mine",) * 3}
     leaks = [(7, prose[83] + " " + item), (None, prose[7] + " " + item)]
     assert after(corpus_pipeline.decontamination, [*leaks, *clean]) == Counter(clean)
 

@@ -31,6 +31,12 @@ from tidings.shared import materialize
 
 #: Growth of the size windows; pivots of a region in the first and in later rounds.
 GROWTH, FIRST_PIVOTS, PIVOTS = 1.6, 1, 256
+#: Members of a region that meet its pivots in one task; larger regions are dealt over several.
+PART = 4096
+#: Steps after which a search for components has gone wrong; each at least halves the longest chain.
+MOST_STEPS = 200
+#: Stands for a missing id in joins.
+NO_ID = -(1 << 63)
 #: Words of 64 bits in the parities of a set.
 PARITY = [f"x{i}" for i in range(4)]
 
@@ -101,27 +107,30 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def _describe(size: int, num: int, den: int):
+def _describe(size: int, windows: Windows | None = None):
+    """Size and two hashes of each row's set; with windows also its parities and regions."""
     def run(batches):
-        windows = Windows(num, den)
         for batch in batches:
-            text = batch.column(1)
+            text = batch.column(2)
             for low, after, _, _ in runs(text, 1 << 19):
                 n, first, second, keys, odd = [], [], [], [], []
                 for shingles in shingle_sets(text[low:after], size):
                     n.append(len(shingles))
                     first.append(mix(shingles).sum(dtype=np.uint64))
                     second.append(mix(shingles ^ np.uint64(0x589965CC75374CC3)).sum(dtype=np.uint64))
-                    keys.append(regions(shingles, windows))
-                    odd.append(parities(shingles))
-                odd = np.array(odd)
-                bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[low:after], pa.array(np.array(n, np.int64)),
-                     signed(np.array(first, np.uint64)), signed(np.array(second, np.uint64)),
-                     *[signed(np.ascontiguousarray(odd[:, i])) for i in range(len(PARITY))],
-                     pa.ListArray.from_arrays(pa.array(bounds), signed(np.concatenate(keys)))],
-                    names=["doc_id", "n", "h1", "h2", *PARITY, "regions"])
+                    if windows:
+                        keys.append(regions(shingles, windows))
+                        odd.append(parities(shingles))
+                columns = [batch.column(0)[low:after], batch.column(1)[low:after], pa.array(np.array(n, np.int64)),
+                           signed(np.array(first, np.uint64)), signed(np.array(second, np.uint64))]
+                names = ["doc_id", "version", "n", "h1", "h2"]
+                if windows:
+                    odd = np.array(odd)
+                    bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                    columns += [*[signed(np.ascontiguousarray(odd[:, i])) for i in range(len(PARITY))],
+                                pa.ListArray.from_arrays(pa.array(bounds), signed(np.concatenate(keys)))]
+                    names += [*PARITY, "regions"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
 
@@ -146,16 +155,26 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             .mapInArrow(_measure(size), "a bigint, b bigint, n_a bigint, n_b bigint, n_both bigint"))
 
 
+def is_stars(edges: DataFrame) -> bool:
+    """Whether every v has one u and no u is a v: then u is the component of v."""
+    twice = edges.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    chained = edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+    return twice.isEmpty() and chained.isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of all ids in links (a, b): the least id reachable.
 
-    Large-star and small-star steps in turn, each written to the shared folder, until nothing changes;
+    Large-star and small-star steps in turn, each written to the shared folder, until the edges are stars;
     the number of steps grows with the logarithm of the longest chain.
     """
     edges = materialize(links.where("a <> b").select(
         F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    mark = None
-    for step in range(200):
+    for step in range(MOST_STEPS):
+        if is_stars(edges):
+            stars = edges.select(F.col("v").alias("id"), F.col("u").alias("component"))
+            return stars.unionByName(
+                edges.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select(
             "v", F.least("v", "m").alias("m"))
@@ -165,13 +184,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(
             least.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
         edges = materialize(small, f"edges-{step}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
-        if now == mark:
-            break
-        mark = now
-    stars = edges.groupBy("v").agg(F.min("u").alias("component"))
-    return stars.select(F.col("v").alias("id"), "component").unionByName(
-        stars.select(F.col("component").alias("id"), "component").distinct())
+    raise RuntimeError("components didn't come to an end")
 
 
 def link_condition(num: int, den: int):
@@ -192,9 +205,9 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
         with_comp = with_comp.select("region", "id", "n", *PARITY, "d", c.alias("c"))
         sizes = with_comp.groupBy("region", "c").agg(F.count("*").alias("n_comp"))
         open_regions = sizes.groupBy("region").agg(
-            F.count("*").alias("n_comps"),
+            F.count("*").alias("n_comps"), F.sum("n_comp").alias("members"),
             F.max(F.struct("n_comp", "c")).alias("main")).where("n_comps > 1").select(
-            "region", F.col("main.c").alias("main"))
+            "region", "members", F.col("main.c").alias("main"))
         # The members of a region's largest component needn't be pivots: all others will be.
         ranked = materialize(with_comp.join(open_regions, "region"), f"regions-{step}")
         order = Window.partitionBy("region").orderBy(F.xxhash64("id"), "id")
@@ -209,7 +222,12 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
                 & ((den + num) * differ <= (den - num) * (F.col("n") + F.col("n_p")))
                 & (F.col("d").isNull() | F.col("d_p").isNull()
                    | (F.abs(F.col("d") - F.col("d_p")) <= radius + 1e-9)))
-        pairs = ranked.join(pivots, "region").where(near).select(
+        # Members of a large region are dealt over several tasks, and its pivots go to each of them.
+        parts = F.ceil(F.col("members") / PART).cast("int")
+        dealt = ranked.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        met = pivots.join(open_regions.select("region", "members"), "region").withColumn(
+            "part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members")
+        pairs = dealt.join(met, ["region", "part"]).where(near).select(
             F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"),
             F.when(F.col("id") < F.col("p"), F.col("n")).otherwise(F.col("n_p")).alias("n_a"),
             F.when(F.col("id") < F.col("p"), F.col("n_p")).otherwise(F.col("n")).alias("n_b")
@@ -239,6 +257,78 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
     raise RuntimeError("regions didn't come to an end")
 
 
+def row_key(id_col: str, text_col: str) -> dict:
+    """What tells rows apart: the id and a hash of the text. Equal rows are decided alike."""
+    doc_id, text = F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit(""))
+    return {"doc": F.coalesce(doc_id, F.lit(NO_ID)), "version": F.xxhash64(text, doc_id.isNull())}
+
+
+def linked_classes(docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str,
+                   by_id: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, version, n, h1, h2) and their classes (h1, h2, n, first).
+
+    Rows of equal sets are a class, whatever their ids; classes have numbers of their own, so that neither a
+    missing id nor one that comes again hides a set. `first` is the row (missing, doc_id, version) with the
+    least id in the component of the class, one without an id last. With `by_id`, classes that
+    share an id are linked too.
+    """
+    key = row_key(id_col, text_col)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), key["version"].alias("version"),
+                       F.col(text_col).alias("text"))
+    longs = "doc_id bigint, version bigint, n bigint, h1 bigint, h2 bigint"
+    described = materialize(rows.mapInArrow(_describe(size), longs), "shingles", compression="zstd")
+    # One row per class, by aggregates that combine before the shuffle. The regions, the bulk of it, are made for
+    # this shuffle and stay with the class.
+    own = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "version")
+    whole = rows.mapInArrow(_describe(size, Windows(num, den)), f"{longs}, "
+                            + "".join(f"{x} bigint, " for x in PARITY) + "regions array<bigint>")
+    classes = materialize(
+        whole.where("n > 0").groupBy("h1", "h2", "n").agg(
+            F.min(own).alias("first"), *[F.min(x).alias(x) for x in PARITY],
+            F.first("regions").alias("regions"))
+        .withColumn("id", F.monotonically_increasing_id()), "classes", compression="zstd")
+    entries = classes.select(F.explode("regions").alias("region"), "id")
+    met = entries.groupBy("region").agg(
+        F.min("id").alias("low"), F.max("id").alias("high"),
+        F.bit_xor(F.xxhash64("id")).alias("members")).where("low < high")
+    # Near texts share most of their regions: of regions with the same members one is enough. What is joined here
+    # and below grows with the documents, so the plan is the same at every size: both sides are sorted.
+    kept = materialize(met.groupBy("low", "high", "members").agg(F.min("region").alias("region"))
+                       .select("region"), "regions")
+    members = materialize(
+        entries.join(kept.hint("merge"), "region").join(classes.select("id", "n", *PARITY), "id")
+        .select("region", "id", "n", *PARITY), "members")
+    doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
+    wanted = materialize(
+        classes.select("id", F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc"), "first.version")
+        .join(members.select("id").distinct(), "id", "left_semi"), "wanted")
+    texts = materialize(
+        rows.select(doc, "version", "text").join(wanted.hint("merge"), ["doc", "version"])
+        .groupBy("id").agg(F.min("text").alias("text")), "member-texts", compression="zstd")
+    linked = all_links(members, texts, size, num, den)
+    if by_id:
+        linked = _with_shared_ids(described, classes, linked)
+    placed = classes.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    firsts = placed.groupBy("component").agg(F.min("first").alias("least"))
+    named = placed.join(firsts, "component").select("h1", "h2", "n", F.col("least").alias("first"))
+    return described, named
+
+
+def _with_shared_ids(described: DataFrame, classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """The components when rows of one id are linked, whatever their texts."""
+    several = described.where("doc_id is not null and n > 0").groupBy("doc_id").agg(
+        F.min("h1").alias("a1"), F.max("h1").alias("b1"), F.min("h2").alias("a2"), F.max("h2").alias("b2")
+    ).where("a1 <> b1 or a2 <> b2").select("doc_id")
+    shared = materialize(
+        described.select("doc_id", "h1", "h2", "n").join(several, "doc_id", "left_semi").distinct()
+        .join(classes.select("id", "h1", "h2", "n"), ["h1", "h2", "n"]).select("doc_id", "id"), "shared-ids")
+    if shared.isEmpty():
+        return linked
+    stars = shared.groupBy("doc_id").agg(F.min("id").alias("b"))
+    more = shared.join(stars, "doc_id").select(F.col("id").alias("a"), "b")
+    return components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
 def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
@@ -246,34 +336,51 @@ def jaccard_components(docs: DataFrame, size: int, num: int, den: int, id_col: s
     Documents are linked if the sets of their shingles of `size` lower-cased words have at least
     num / den in common; `component_id` is the least id reachable by links. A text of fewer words is
     one shingle; a null or empty text has none and is linked with nothing. Rows of equal sets are one
-    class and only its least id takes part in the join, so copies cost no pairs. Rows that repeat an
-    id share its component; a row without an id has no component unless its set has one. No rows, no
-    result; other columns are ignored.
+    class, which takes part in the join once, so copies cost no pairs. Rows that repeat an id are one
+    document with several texts: each of them links it, and all share its component. A row without an id has
+    no component unless an id can be reached from it. No rows, no result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    described = materialize(
-        rows.mapInArrow(_describe(size, num, den), "doc_id bigint, n bigint, h1 bigint, h2 bigint, "
-                        + "".join(f"{x} bigint, " for x in PARITY) + "regions array<bigint>"), "shingles", compression="zstd")
-    # One row per class, by counts that combine before the shuffle.
-    classes = materialize(described.where("n > 0").groupBy("h1", "h2", "n").agg(
-        F.min("doc_id").alias("id")), "classes")
-    chosen = described.select("doc_id", "h1", "h2", "n", *PARITY, "regions").join(
-        classes.where("id is not null").select(F.col("id").alias("doc_id"), "h1", "h2"),
-        ["doc_id", "h1", "h2"], "left_semi")
-    entries = chosen.select(F.explode("regions").alias("region"), F.col("doc_id").alias("id"), "n",
-                            *PARITY)
-    within = Window.partitionBy("region")
-    members = materialize(
-        entries.withColumns({"low": F.min("id").over(within), "high": F.max("id").over(within)})
-        .where("low < high").select("region", "id", "n", *PARITY)
-        .dropDuplicates(["region", "id"]), "members")
-    texts = materialize(
-        rows.select(F.col("doc_id").alias("id"), "text").join(
-            members.select("id").distinct(), "id", "left_semi")
-        .groupBy("id").agg(F.min("text").alias("text")), "member-texts", compression="zstd")
-    linked = all_links(members, texts, size, num, den)
-    named = classes.join(linked, "id", "left").select(
-        "h1", "h2", "n", F.coalesce("component", "id").alias("component"))
+    described, named = linked_classes(docs, size, num, den, id_col, text_col, by_id=True)
     return described.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"))
+        F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int, num: int, den: int, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, of each component of linked texts only the first: the one with the least id, one
+    without an id last.
+
+    Each row is decided for itself: rows that share an id or have none, but not their texts, are
+    different rows. Of rows equal in id and text one stays. Rows without words are linked with nothing and all
+    stay. All columns are kept.
+    """
+    described, named = linked_classes(docs, size, num, den, id_col, text_col, by_id=False)
+    with_words = described.where("n > 0").select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "version", "h1", "h2", "n")
+    first = named.select("h1", "h2", "n", F.coalesce("first.doc_id", F.lit(NO_ID)).alias("first_doc"),
+                         F.col("first.version").alias("first_version"))
+    gone = materialize(
+        with_words.join(first, ["h1", "h2", "n"]).where("doc <> first_doc or version <> first_version")
+        .select("doc", "version").distinct(), "duplicates")
+    again = materialize(with_words.groupBy("doc", "version").agg(F.count("*").alias("rows"))
+                        .where("rows > 1").select("doc", "version"), "repeated")
+    names = {x: _free(docs, x) for x in ("doc", "version")}
+    keyed = docs.withColumns({names[x]: c for x, c in row_key(id_col, text_col).items()})
+
+    def matching(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        return rows.join(keys.withColumnsRenamed(names).hint("merge"), list(names.values()), how)
+
+    left = matching(gone, "left_anti", keyed)
+    if not again.isEmpty():
+        once = matching(again, "left_anti", left)
+        left = once.unionByName(matching(again, "left_semi", left).dropDuplicates(list(names.values())))
+    return left.select(*docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of `docs` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
