@@ -175,21 +175,27 @@ def retrieve(words: Words, index: Index, threshold: float):
     return [(row, i, s) for (row, i), s in best.items()]
 
 
+def overlaps(data: np.ndarray, bounds: np.ndarray, index: Index, threshold: float):
+    """(row, item, score, overlap with question, answer and whole item) of what a run of texts retrieves."""
+    words = Words(data, bounds, lower=True, between=NOT_ALNUM)
+    held: dict = {}
+    for row, i, score in retrieve(words, index, threshold):
+        n = index.size[i]
+        if (row, n) not in held:
+            held[row, n] = grams(words, words.first[row], words.first[row + 1], n)
+        whole = held[row, n]
+        parts = index.question[i], index.answer[i]
+        yield (row, i, score, *[float(np.isin(part, whole).mean())
+                                for part in (*parts, np.union1d(*parts))])
+
+
 def _search(index: Index, threshold: float):
     def run(batches):
         for batch in batches:
             for low, after, data, bounds in runs(batch.column(1)):
-                words = Words(data, bounds, lower=True, between=NOT_ALNUM)
-                ids, out, held = batch.column(0)[low:after].to_pylist(), [], {}
-                for row, i, score in retrieve(words, index, threshold):
-                    n = index.size[i]
-                    if (row, n) not in held:
-                        held[row, n] = grams(words, words.first[row], words.first[row + 1], n)
-                    whole = held[row, n]
-                    parts = index.question[i], index.answer[i]
-                    shares = [float(np.isin(part, whole).mean())
-                              for part in (*parts, np.union1d(*parts))]
-                    out.append((ids[row], index.ids[i], score, *shares))
+                ids = batch.column(0)[low:after].to_pylist()
+                out = [(ids[row], index.ids[i], *rest)
+                       for row, i, *rest in overlaps(data, bounds, index, threshold)]
                 types = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[k] for x in out], t) for k, t in enumerate(types)],
@@ -197,6 +203,18 @@ def _search(index: Index, threshold: float):
     return run
 
 
+def _holds(index: Index, threshold: float):
+    """Whether a text holds an item."""
+    def run(texts: pa.Array) -> pa.Array:
+        leaks = np.zeros(len(texts), bool)
+        for low, _, data, bounds in runs(texts):
+            for row, _, _, question, answer, whole in overlaps(data, bounds, index, threshold):
+                if question >= QUESTION and answer >= ANSWER or whole >= WHOLE:
+                    leaks[low + row] = True
+        return pa.array(leaks)
+    return F.arrow_udf(run, "boolean")
+
+
 def _terms(batches):
     """Each term of a run of items, and how many of them hold it."""
     for batch in batches:
@@ -243,19 +261,25 @@ def retrieved(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVED,
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     wanted = items.select(F.col(item_col).cast("bigint").alias("item_id"),
                           F.col(item_text_col).alias("text"))
-    n = -(-wanted.count() // index_items)
     schema = ("doc_id bigint, item_id bigint, score double, question_overlap double, "
               "answer_overlap double, overlap double")
-    corpus = corpora(wanted) if n > 1 else None
     found = None
+    for index in indexes(wanted, index_items):
+        some = rows.mapInArrow(_search(index, threshold), schema)
+        found = some if found is None else found.unionByName(some)
+    return found if found is not None else rows.sparkSession.createDataFrame([], schema)
+
+
+def indexes(wanted: DataFrame, index_items: int):
+    """An index for each part of the items (item_id, text) that has words."""
+    n = -(-wanted.count() // index_items)
+    corpus = corpora(wanted) if n > 1 else None
     for k in range(n):
         part = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         index = build_index([(r["item_id"], r["text"]) for r in part.collect()],
                             corpus(part) if corpus else None)
         if index is not None:
-            some = rows.mapInArrow(_search(index, threshold), schema)
-            found = some if found is None else found.unionByName(some)
-    return found if found is not None else rows.sparkSession.createDataFrame([], schema)
+            yield index
 
 
 def is_leak() -> Column:
@@ -267,3 +291,15 @@ def contaminated(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
     """The retrieved pairs whose document holds both the item's question and its answer, or enough of
     the whole item."""
     return retrieved(docs, items, **columns).where(is_leak())
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, threshold: float = RETRIEVED, text_col: str = "text",
+                    item_col: str = "item_id", item_text_col: str = "text",
+                    index_items: int = INDEX_ITEMS) -> DataFrame:
+    """The rows of `docs` that hold no item, with all their columns, whatever their ids: each is decided where
+    it is read. Rows without a text stay, and all do if there are no items."""
+    wanted = items.select(F.col(item_col).cast("bigint").alias("item_id"),
+                          F.col(item_text_col).alias("text"))
+    for index in indexes(wanted, index_items):
+        docs = docs.where(~_holds(index, threshold)(F.col(text_col)))
+    return docs

@@ -8,7 +8,7 @@ a document far from it in Mahalanobis distance is an outlier.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidings.llm.words import IS_SPACE, SAME, Words, mix, powers, runs, windows
 from tidings.shared import materialize
@@ -80,29 +80,44 @@ def repeated_words(words: Words, n: int) -> np.ndarray:
     return np.bincount(words.doc[covered], minlength=n)
 
 
-def _statistics(batches):
-    for batch in batches:
-        for low, after, data, bounds in runs(batch.column(3)):
-            words = Words(data, bounds, lower=False)
-            begins = (data & 0xC0) != 0x80
-            counts = [words.count, per_row(~IS_SPACE[data] & begins, bounds),
-                      per_row(SYMBOLS[data], bounds), duplicate_lines(data, bounds),
-                      repeated_words(words, after - low), per_row(UPPER[data], bounds),
-                      per_row(ENDING[data], bounds)]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i)[low:after] for i in range(3)],
-                 *[pa.array(np.asarray(c, np.int64)) for c in counts]],
-                names=["doc_id", "lang", "source", *COUNTS])
-
-
-def text_statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
-                    source_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
+def counts_of(column: pa.Array):
+    """(first row, row after the last, COUNTS) of runs of texts."""
+    for low, after, data, bounds in runs(column):
+        words = Words(data, bounds, lower=False)
+        begins = (data & 0xC0) != 0x80
+        yield low, after, [np.asarray(c, np.int64) for c in (
+            words.count, per_row(~IS_SPACE[data] & begins, bounds), per_row(SYMBOLS[data], bounds),
+            duplicate_lines(data, bounds), repeated_words(words, after - low),
+            per_row(UPPER[data], bounds), per_row(ENDING[data], bounds))]
+
+
+COUNTED = pa.struct([(c, pa.int64()) for c in COUNTS])
+
+
+def _counted(texts: pa.Array) -> pa.Array:
+    parts = [counts for _, _, counts in counts_of(texts)]
+    columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)] if parts else [
+        pa.array([], pa.int64())] * len(COUNTS)
+    return pa.StructArray.from_arrays(columns, fields=list(COUNTED))
+
+
+def with_statistics(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """Add the COUNTS of a text as the struct `name`. Only the text goes to Python, and only numbers come
+    back."""
+    count = F.arrow_udf(_counted, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+    return rows.withColumn(name, count(text))
+
+
+def text_statistics(docs: DataFrame, text_col: str, lang_col: str, source_col: str,
+                    **carried: Column) -> DataFrame:
+    """The `carried` columns, lang, source and COUNTS of every row."""
+    rows = docs.select(*[c.alias(name) for name, c in carried.items()],
                        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
                        F.col(text_col).alias("text"))
-    return rows.mapInArrow(_statistics, "doc_id bigint, lang string, source string, " + ", ".join(
-        f"{c} bigint" for c in COUNTS))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return with_statistics(rows, F.col("text"), "counts").select(
+        *carried, "lang", "source", "counts.*").withColumn("base_failed", failed)
 
 
 def vector() -> dict:
@@ -165,8 +180,11 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE)
     before the shuffle; groups of any size are fine.
     """
     names = list(FEATURES)
-    middle = rows.groupBy("grp").agg(*[
-        F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"m{i}") for i, c in enumerate(names)])
+    # One row a group. Written tables are of known size: Spark broadcasts them where that is small, so that
+    # the rows of a large group stay where they are.
+    middle = materialize(rows.groupBy("grp").agg(*[
+        F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"m{i}") for i, c in enumerate(names)]),
+        "middle")
     away = F.greatest(*[
         F.abs(F.col(c) - F.col(f"m{i}")[1]) / F.greatest(F.col(f"m{i}")[2] - F.col(f"m{i}")[0],
                                                         F.lit(FEATURES[c]))
@@ -176,48 +194,68 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS, share: float = SHARE)
     for step in range(steps + 1):
         if found is not None:
             measured = rows.join(found, "grp").select("grp", *names, distance().alias("d2"))
-        bound = measured.groupBy("grp").agg(F.percentile_approx("d2", share, 2000).alias("bound"))
+        bound = materialize(measured.groupBy("grp").agg(
+            F.percentile_approx("d2", share, 2000).alias("bound")), f"bound-{step}")
         near = measured.join(bound, "grp").where("d2 <= bound")
         found = materialize(estimate(near), f"estimate-{step}")
     return found
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     lang_col: str = "lang", source_col: str = "source",
-                     cut: float = CUT) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance,
-    kept) for every row.
+def quality_limits(stats: DataFrame) -> DataFrame:
+    """(lang, source, c0.., w0_0.., middle): by what the rows of a language and source are judged.
 
-    Rows fail the base rules with fewer than 50 words, or if over half of the words stand in
-    three-word windows that come again. The others are judged by the squared distance from the
-    estimate of their (language, source); groups of few rows are judged with their language, and
-    small languages with all. Only rows that pass the base rules form the estimates. A null or empty
-    text has no words and fails. A null language or source is a group of its own. Repeated rows are
-    judged each. No rows, no verdicts; other columns are ignored.
+    `stats` are the statistics of all rows; those that pass the base rules form the estimates. Groups of few
+    rows are judged with their language, and small languages with all.
     """
-    stats = materialize(text_statistics(docs, id_col, text_col, lang_col, source_col)
-                        .withColumn("base_failed", (F.col("n_words") < 50)
-                                    | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))),
-                        "statistics")
     judged = stats.where("not base_failed")
     in_group = judged.groupBy("lang", "source").agg(F.count("*").alias("n_group"))
     in_lang = judged.groupBy("lang").agg(F.count("*").alias("n_lang"))
     group = (F.when(F.col("n_group") >= LEAST_ROWS, F.concat_ws("\u0001", "lang", "source"))
              .when(F.col("n_lang") >= LEAST_ROWS, F.col("lang")).otherwise(F.lit("\u0001\u0001")))
-    groups = in_group.join(in_lang, "lang").select("lang", "source", group.alias("grp"))
-    rows = materialize(
-        judged.join(groups, ["lang", "source"]).withColumns(vector())
-        .select("doc_id", *[c for c in COUNTS[:5]], "grp", *FEATURES), "vectors")
+    groups = materialize(in_group.join(in_lang, "lang").select("lang", "source", group.alias("grp")),
+                         "groups")
+    rows = materialize(judged.join(groups, ["lang", "source"]).withColumns(vector())
+                       .select("grp", *FEATURES), "vectors")
     found = robust_estimates(rows)
-    measured = rows.join(found, "grp").select(
-        "doc_id", *COUNTS[:5], "grp", distance().alias("d2"))
+    measured = rows.join(found, "grp").select("grp", distance().alias("d2"))
     middle = measured.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 2000).alias("middle"))
+    return materialize(groups.join(found, "grp").join(middle, "grp").drop("grp"), "limits")
+
+
+def with_verdicts(stats: DataFrame, limits: DataFrame, cut: float) -> DataFrame:
+    """Add `distance` (null where the base rules fail) and `kept`."""
     typical = len(FEATURES) - 0.66
-    scaled = F.col("d2") * typical / F.greatest("middle", F.lit(typical / 4))
-    passed = measured.join(middle, "grp").select(
-        "doc_id", *COUNTS[:5], F.lit(False).alias("base_failed"), scaled.alias("distance"),
-        (scaled <= cut).alias("kept"))
-    failed = stats.where("base_failed").select(
-        "doc_id", *COUNTS[:5], "base_failed", F.lit(None).cast("double").alias("distance"),
-        F.lit(False).alias("kept"))
-    return passed.unionByName(failed)
+    scaled = distance() * typical / F.greatest("middle", F.lit(typical / 4))
+    joined = stats.withColumns(vector()).join(limits, ["lang", "source"], "left")
+    return joined.withColumn("distance", F.when(~F.col("base_failed"), scaled)).withColumn(
+        "kept", F.coalesce(F.col("distance") <= cut, F.lit(False)))
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     lang_col: str = "lang", source_col: str = "source",
+                     cut: float = CUT) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance,
+    kept) for every row.
+
+    Rows fail the base rules with fewer than 50 words, or if over half of the words stand in
+    three-word windows that come again. The others are judged by the squared distance from the
+    estimate of their (language, source). A null or empty text has no words and fails. A null language or
+    source counts as an empty one. Repeated rows are judged each. No rows, no verdicts; other columns are
+    ignored.
+    """
+    stats = materialize(text_statistics(
+        docs, text_col, lang_col, source_col, doc_id=F.col(id_col).cast("bigint")), "statistics")
+    return with_verdicts(stats, quality_limits(stats), cut).select(
+        "doc_id", *COUNTS[:5], "base_failed", "distance", "kept")
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                   source_col: str = "source", cut: float = CUT) -> DataFrame:
+    """The rows of `docs` that pass, with all their columns, whatever their ids.
+
+    The limits are per language and source, so a row is judged where it is read, by statistics computed once
+    more: no text is shuffled or written.
+    """
+    limits = quality_limits(materialize(text_statistics(docs, text_col, lang_col, source_col), "statistics"))
+    rows = text_statistics(docs, text_col, lang_col, source_col, row=F.struct(*docs.columns))
+    return with_verdicts(rows, limits, cut).where("kept").select("row.*")
