@@ -13,7 +13,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidings.llm.words import Words, buffers, runs
 from tidings.shared import materialize
@@ -241,6 +241,15 @@ def _score(head: tuple[np.ndarray, np.ndarray, np.ndarray]):
     return run
 
 
+def frequent_from(words: DataFrame, most: int) -> int:
+    """The least count that at most `most` words reach. From a histogram of counts: one row per count that occurs,
+    one row to the driver."""
+    counts = words.groupBy("total").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0))
+    least = counts.withColumn("upto", upto).where(F.col("upto") <= most).agg(F.min("total")).first()[0]
+    return (1 << 62) if least is None else least
+
+
 def lattice_scores(docs: DataFrame, held_out: Column, path: str, id_col: str = "doc_id",
                    text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
@@ -250,8 +259,8 @@ def lattice_scores(docs: DataFrame, held_out: Column, path: str, id_col: str = "
     tokens, `score` the lattice's, both base-10 logs. A null or empty text is an end alone. With no
     training rows nothing is known and the pieces keep their prior. Rows that repeat are scored each.
 
-    Word counts are combined before they are shuffled. The `head_words` most frequent words, a fixed
-    number, go to every task; all rarer words meet their scores in a join, so that no word is left
+    Word counts are combined before they are shuffled. The most frequent words, `head_words` of them at most,
+    go to every task; all rarer words meet their scores in a join, so that no word is left
     out and none of the joined ones is frequent.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
@@ -272,8 +281,8 @@ def lattice_scores(docs: DataFrame, held_out: Column, path: str, id_col: str = "
             _word_scores(path, log_p, share, total), "hash bigint, trained bigint, total bigint, lattice double")
         .select("hash", "total", (F.col("trained") > 0).cast("bigint").alias("known"),
                 base.alias("base"), "lattice"), "word-scores")
-    table = (scored.orderBy(F.desc("total"), "hash").limit(head_words)
-             .select("hash", "known", "base", "lattice").toPandas())
+    table = (scored.where(F.col("total") >= frequent_from(scored, head_words))
+             .select("hash", "known", "base", "lattice").toPandas())        # `head_words` rows at most
     hashes = table["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     head = (hashes[order], table["known"].to_numpy(float)[order],

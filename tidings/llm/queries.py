@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(modulus: int, remainder: int) -> Column:
-    """Whether a document's checksum has this remainder."""
-    return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
+    """Whether a document's checksum has this remainder. A row without an id is in no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
 @query

@@ -40,26 +40,25 @@ class Model:
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first, after the last, score) of a list, in linear time.
 
-    Candidates are kept with the totals before and after them; a new positive score joins with the
-    candidates back to the nearest one that begins lower, if it ends higher than that one ended.
+    Candidates are kept with the totals before and after them, and each with the nearest earlier one that begins
+    lower, so that none is looked at twice. A new positive score joins with the candidates
+    back to the nearest one that begins lower, if it ends higher than that one ended.
     """
-    found: list[tuple[int, int, float, float]] = []     # first, after, total before, total after
+    found: list[tuple[int, int, float, float, int]] = []     # first, after, totals before and after, lower one
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        first, low = i, before
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= low:
-                k -= 1
-            if k < 0 or found[k][3] >= total:
-                found.append((first, i + 1, low, total))
-                break
-            first, low = found[k][0], found[k][2]
+        first, low, k = i, before, len(found) - 1
+        while k >= 0 and found[k][2] >= low:
+            k = found[k][4]
+        while k >= 0 and found[k][3] < total:
+            first, low, lower = found[k][0], found[k][2], found[k][4]
             del found[k:]
-    return [(a, b, after - before) for a, b, before, after in found]
+            k = lower
+        found.append((first, i + 1, low, total, k))
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 def unit_hashes(words: Words, size: int) -> np.ndarray:
