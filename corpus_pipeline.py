@@ -1,66 +1,47 @@
 """A corpus pipeline: quality rules, near duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last return the columns of
-`documents`. Each row is decided for itself, whatever its id: the filtering stages number the rows of
-their input, because an id may be missing or come again with another text.
+`documents`. Each row is decided for itself, whatever its id: an id may be missing or come again with another
+text.
 """
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidings.llm import bm25, hilbert, jaccard, outliers, weak
-from tidings.shared import materialize, new_path
+from tidings.shared import new_path
 
 #: The duplicates stage: shingles of five words, similarity of 80 / 100.
 SHINGLE_WORDS, SIMILAR = 5, (80, 100)
 
 
-#: The number of a row within a stage.
-ROW = "__row"
-
-
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a number each. They are written once, so that every reader sees the same numbers."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), f"numbered-{name}",
-                       compression="zstd")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
-    rows = numbered(docs, "quality")
-    kept = outliers.quality_verdicts(rows, id_col=ROW).where("kept").select(
-        F.col("doc_id").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    """Documents that pass the base rules and are no outliers of their language and source. Texts that are null or
+    empty fail; rows that repeat are judged each."""
+    return outliers.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the least id; one without an id stays only
-    where no other has one. Rows without words are nobody's duplicates."""
-    rows = numbered(docs, "duplicates")
-    groups = jaccard.jaccard_components(rows, SHINGLE_WORDS, *SIMILAR, id_col=ROW).select(
-        F.col("doc_id").alias(ROW), "component_id")
-    by_id = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    first = rows.select(ROW, "doc_id").join(groups, ROW).groupBy("component_id").agg(
-        F.min_by(ROW, by_id).alias(ROW)).select(ROW)
-    return rows.join(first, ROW, "left_semi").select(*docs.columns)
+    where no other has one. Rows without words are nobody's duplicates; of equal rows one stays."""
+    return jaccard.one_of_each(docs, SHINGLE_WORDS, *SIMILAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = numbered(docs, "decontamination")
-    leaks = bm25.contaminated(rows, items, id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(leaks, ROW, "left_anti").select(*docs.columns)
+    """Documents that hold no item of the benchmark. Rows without a text stay."""
+    return bm25.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; `n_chars` follows the text."""
+    """All documents, with personal data replaced by its kind; `n_chars` follows the text. A null text stays
+    null; rows that repeat are treated each."""
     clean = weak.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 ids along the curve, as pieces of documents."""
+    """Sequences of 1024 ids along the curve, as pieces of documents. A null text is an empty one, of one id;
+    rows that repeat are packed each."""
     return hilbert.pack_along_curve(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
