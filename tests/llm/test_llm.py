@@ -220,6 +220,38 @@ def test_jaccard_rows_that_share_an_id(spark):
         [(None, 4), (4, 4), (None, None)], key=repr)
 
 
+def test_jaccard_large_group_is_measured_in_few_pairs(spark, monkeypatch):
+    """Near copies of one text, each with a few words of its own: most are linked, but not all to the first."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        mine = list(base)
+        for j in rng.sample(range(120), rng.randint(1, 4)):
+            mine[j] = f"own{i}x{j}"
+        texts.append(" ".join(mine))
+    counted = []
+
+    def measured(pairs, texts, size):
+        counted.append(pairs.count())
+        return real(pairs, texts, size)
+
+    real = jaccard.measured
+    monkeypatch.setattr(jaccard, "measured", measured)
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(frame(spark, texts), 3, 85, 100).collect()
+                 if r["doc_id"] is not None)
+    ids = [i for i in range(len(texts)) if i != 3]
+    shingles = [{tuple(t.split()[j:j + 3]) for j in range(118)} for t in texts]
+    least = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b]):
+            old, new = sorted((least[a], least[b]), reverse=True)
+            least = [new if x == old else x for x in least]
+    named = {c: min(i for i in ids if least[i] == c) for c in set(least) if any(least[i] == c for i in ids)}
+    assert got == [(i, len(shingles[i]), named[least[i]]) for i in ids]
+    assert sum(counted) < 10 * len(texts)
+
+
 def test_jaccard_region_of_many_unlinked_documents(spark):
     """2,000 documents share a passage, and so regions, but only some pairs are linked."""
     rng = random.Random(20)

@@ -12,7 +12,9 @@ is what it has in slice j, a set at distance 1 - |part| / |document| from it.
   windows too, and documents near a boundary are replicated over it.
 * Recursion: in a region of several documents some become pivots; all others are measured against
   them. Linked documents fall into one component; regions that still hold several components recurse
-  with new pivots. The triangle inequality over the first pivot's distances rules pairs out, and so do
+  with new pivots, more in each round. The first few link most of a large group, and what is in one
+  component is measured no more, so pairs grow with the members of the regions, not with their squares
+  as with many pivots at once. The triangle inequality over the first pivot's distances rules pairs out, and so do
   parities: sets whose parities by hashed bit differ in d bits differ in at least d shingles.
 
 Nothing is estimated: every pair within the radius shares a region, and recursion ends when a region
@@ -29,16 +31,17 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidings.llm.words import mix, runs, shingle_sets, signed
 from tidings.shared import materialize
 
-#: Growth of the size windows; pivots of a region in the first and in later rounds.
-GROWTH, FIRST_PIVOTS, PIVOTS = 1.6, 1, 256
+#: Growth of the size windows; growth of a region's number of pivots from round to round, from 1, and its most.
+GROWTH, MORE_PIVOTS, PIVOTS = 1.6, 4, 1024
 #: Members of a region that meet its pivots in one task; larger regions are dealt over several.
 PART = 4096
 #: Steps after which a search for components has gone wrong; each at least halves the longest chain.
 MOST_STEPS = 200
 #: Stands for a missing id in joins.
 NO_ID = -(1 << 63)
-#: Words of 64 bits in the parities of a set.
-PARITY = [f"x{i}" for i in range(4)]
+#: Words of 64 bits in the parities of a set. With as many bits as a text has shingles, sets that differ in not many
+#: more than linked ones do are still told apart.
+PARITY = [f"x{i}" for i in range(8)]
 
 
 @dataclass
@@ -191,8 +194,13 @@ def link_condition(num: int, den: int):
     return den * F.col("n_both") >= num * (F.col("n_a") + F.col("n_b") - F.col("n_both"))
 
 
-def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(id, component) of the classes in `members` (region, id, n) that have a link."""
+def all_links(members: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, num: int,
+              den: int) -> DataFrame:
+    """(id, component) of the classes in `members` (region, id) that have a link.
+
+    `sketches` are sizes and parities (id, n, x0, ...). They come to the members where these meet, so that what
+    is kept from round to round is narrow.
+    """
     spark = members.sparkSession
     radius = 1 - num / den
     links = None
@@ -202,20 +210,24 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
         with_comp = state if comp is None else state.join(
             comp.withColumnRenamed("component", "c"), "id", "left")
         c = F.col("id") if comp is None else F.coalesce("c", "id")
-        with_comp = with_comp.select("region", "id", "n", *PARITY, "d", c.alias("c"))
+        with_comp = with_comp.select("region", "id", "d", c.alias("c"))
         sizes = with_comp.groupBy("region", "c").agg(F.count("*").alias("n_comp"))
         open_regions = sizes.groupBy("region").agg(
             F.count("*").alias("n_comps"), F.sum("n_comp").alias("members"),
             F.max(F.struct("n_comp", "c")).alias("main")).where("n_comps > 1").select(
-            "region", "members", F.col("main.c").alias("main"))
-        # The members of a region's largest component needn't be pivots: all others will be.
+            "region", "members", F.col("main.c").alias("main"),
+            (F.col("members") - F.col("main.n_comp")).alias("others"))
+        # The members of a region's largest component needn't be pivots if all others can be. Otherwise any
+        # can: a pivot of that component meets the few others only, and may link many of them.
         ranked = materialize(with_comp.join(open_regions, "region"), f"regions-{step}")
         order = Window.partitionBy("region").orderBy(F.xxhash64("id"), "id")
-        limit = FIRST_PIVOTS if step == 0 else PIVOTS
-        pivots = (ranked.where(F.col("c") != F.col("main")) if step else ranked).withColumn(
+        limit = min(MORE_PIVOTS ** step, PIVOTS)
+        any_member = (F.col("others") > limit) & F.lit(limit < PIVOTS)
+        pivots = ranked.where(any_member | (F.col("c") != F.col("main"))).withColumn(
             "rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(
-            "region", F.col("id").alias("p"), F.col("n").alias("n_p"), F.col("d").alias("d_p"),
-            F.col("c").alias("c_p"), *[F.col(x).alias(f"{x}_p") for x in PARITY])
+            "region", F.col("id").alias("p"), F.col("d").alias("d_p"), F.col("c").alias("c_p"))
+        sketched = pivots.join(sketches.select(
+            F.col("id").alias("p"), F.col("n").alias("n_p"), *[F.col(x).alias(f"{x}_p") for x in PARITY]), "p")
         differ = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{x}_p"))) for x in PARITY), F.lit(0))
         near = ((F.col("c") != F.col("c_p"))
                 & (den * F.least("n", "n_p") >= num * F.greatest("n", "n_p"))
@@ -224,8 +236,8 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
                    | (F.abs(F.col("d") - F.col("d_p")) <= radius + 1e-9)))
         # Members of a large region are dealt over several tasks, and its pivots go to each of them.
         parts = F.ceil(F.col("members") / PART).cast("int")
-        dealt = ranked.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-        met = pivots.join(open_regions.select("region", "members"), "region").withColumn(
+        dealt = ranked.join(sketches, "id").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        met = sketched.join(open_regions.select("region", "members"), "region").withColumn(
             "part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members")
         pairs = dealt.join(met, ["region", "part"]).where(near).select(
             F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"),
@@ -247,8 +259,8 @@ def all_links(members: DataFrame, texts: DataFrame, size: int, num: int, den: in
             rest = (rest.join(by_pivot, "region")
                     .withColumns({"a": F.least("id", "p"), "b": F.greatest("id", "p")})
                     .join(known, ["a", "b"], "left")
-                    .select("region", "id", "n", *PARITY, F.col("known").alias("d")))
-        state = materialize(rest.select("region", "id", "n", *PARITY, "d"), f"rest-{step}")
+                    .select("region", "id", F.col("known").alias("d")))
+        state = materialize(rest.select("region", "id", "d"), f"rest-{step}")
         left = state.join(comp.withColumnRenamed("component", "c"), "id", "left").groupBy(
             "region").agg(F.min(F.coalesce("c", "id")).alias("low"),
                           F.max(F.coalesce("c", "id")).alias("high")).where("low < high")
@@ -295,17 +307,17 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int, id_col: str,
     # and below grows with the documents, so the plan is the same at every size: both sides are sorted.
     kept = materialize(met.groupBy("low", "high", "members").agg(F.min("region").alias("region"))
                        .select("region"), "regions")
-    members = materialize(
-        entries.join(kept.hint("merge"), "region").join(classes.select("id", "n", *PARITY), "id")
-        .select("region", "id", "n", *PARITY), "members")
+    members = materialize(entries.join(kept.hint("merge"), "region").select("region", "id"), "members")
     doc = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")
+    met_ids = members.select("id").distinct()
     wanted = materialize(
         classes.select("id", F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc"), "first.version")
-        .join(members.select("id").distinct(), "id", "left_semi"), "wanted")
+        .join(met_ids, "id", "left_semi"), "wanted")
+    sketches = materialize(classes.select("id", "n", *PARITY).join(met_ids, "id", "left_semi"), "sketches")
     texts = materialize(
         rows.select(doc, "version", "text").join(wanted.hint("merge"), ["doc", "version"])
         .groupBy("id").agg(F.min("text").alias("text")), "member-texts", compression="zstd")
-    linked = all_links(members, texts, size, num, den)
+    linked = all_links(members, sketches, texts, size, num, den)
     if by_id:
         linked = _with_shared_ids(described, classes, linked)
     placed = classes.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
