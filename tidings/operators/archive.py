@@ -17,10 +17,11 @@ def touched_months(archive: DataFrame, incoming: DataFrame) -> DataFrame:
     """The part of the archive in the months that `incoming` touches.
 
     The months are reduced to distinct values first; on a table partitioned by month the semi join
-    becomes partition pruning at run time.
+    becomes partition pruning at run time. They are few however many rows there are, and broadcast, so that no
+    archived row is sent to its month.
     """
     months = incoming.where(F.col("month") > "").select("month").distinct()
-    return archive.join(months, "month", "left_semi")
+    return archive.join(F.broadcast(months), "month", "left_semi")
 
 
 def content_digest(items: DataFrame, columns: list[str]) -> Column:
@@ -54,6 +55,29 @@ def news(index: DataFrame, incoming: DataFrame) -> DataFrame:
         "month", "id", F.coalesce("held", F.lit(False)).alias("held")).distinct()
 
 
+def upsert_parts(archive: DataFrame, incoming: DataFrame, order: list[str] = ORDER_COLUMNS,
+                 index: DataFrame | None = None, places: DataFrame | None = None,
+                 unique: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The two halves of `upsert`: archived rows that stay as they are, and rows of `incoming`.
+
+    `places` are the keys and places of those archived rows that `incoming` overwrites, if they are known. Written
+    before, they tell Spark their size: with few of them, or none, neither half is shuffled. With `unique`,
+    `incoming` has one row per (month, id).
+    """
+    keys = ["month", "id"]
+    batch = incoming if unique else last_value_first_place(incoming, keys, order)
+    if places is None:
+        places = ((archive if index is None else index)
+                  .join(batch.select(*keys), keys, "left_semi").select(*keys, *order))
+        untouched = archive.join(batch.select(*keys), keys, "left_anti")
+    else:
+        untouched = archive.join(places.select(*keys), keys, "left_anti")
+    replaced = batch.join(places.select(*keys, F.struct(*order).alias("__place")), keys, "left")
+    placed = [F.coalesce(F.col("__place")[c], F.col(c)).alias(c) for c in order]
+    others = [c for c in archive.columns if c not in keys and c not in order]
+    return untouched, replaced.select(*keys, *others, *placed)
+
+
 def upsert(archive: DataFrame, incoming: DataFrame, order: list[str] = ORDER_COLUMNS,
            index: DataFrame | None = None) -> DataFrame:
     """Archive rows overwritten and extended by `incoming`, per (month, id).
@@ -67,15 +91,7 @@ def upsert(archive: DataFrame, incoming: DataFrame, order: list[str] = ORDER_COL
     with a larger one the joins are on (month, id), which spreads a month that holds a third of
     the archive like any other.
     """
-    keys = ["month", "id"]
-    batch = last_value_first_place(incoming, keys, order)
-    untouched = archive.join(batch.select(*keys), keys, "left_anti")
-    places = ((archive if index is None else index).join(batch.select(*keys), keys, "left_semi")
-              .select(*keys, F.struct(*order).alias("__place")))
-    replaced = batch.join(places, keys, "left")
-    placed = [F.coalesce(F.col("__place")[c], F.col(c)).alias(c) for c in order]
-    others = [c for c in archive.columns if c not in keys and c not in order]
-    written = replaced.select(*keys, *others, *placed)
+    untouched, written = upsert_parts(archive, incoming, order, index)
     return untouched.unionByName(written)
 
 

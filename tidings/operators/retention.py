@@ -15,7 +15,7 @@ from pyspark.sql.types import IntegralType
 
 from tidings.functions.dates import cutoff, sort_key
 from tidings.schema import ORDER_COLUMNS
-from tidings.shared import materialize
+from tidings.shared import materialize, scratch
 
 LIVE, ARCHIVE = "live", "archive"
 
@@ -58,7 +58,11 @@ def nth_newest(items: DataFrame, n: int, order: list[str] = ORDER_COLUMNS) -> Ed
     One row a step comes to the driver. The steps: the day; the whole sort key with all columns of the place but
     the last; the last one, a number, by its bits.
     """
-    keys = materialize(items.select("sk", *order), "keys")
+    with scratch(items.sparkSession, "keys") as folder:
+        return _nth_newest(materialize(items.select("sk", *order), "keys", folder), n, order)
+
+
+def _nth_newest(keys: DataFrame, n: int, order: list[str]) -> Edge | None:
     n = min(n, keys.count())
     if not n:
         return None

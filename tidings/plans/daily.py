@@ -1,5 +1,6 @@
 """The daily run: extract, merge, archive, record."""
 
+from contextlib import closing
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -14,12 +15,13 @@ from tidings.operators.normalize import blog_items, note_items, release_items
 from tidings.operators.notes import enrich_links, month_pages, month_sections, recent_pages
 from tidings.operators.retention import ARCHIVE, LIVE, last_kept, with_placement
 from tidings.schema import (
-    ARCHIVED_ITEM, ATOM_ENTRY, FRESH_ITEM, ITEM_COLUMNS, PAGE, RSS_ENTRY, STORED_ITEM,
+    ARCHIVED_ITEM, ATOM_ENTRY, FRESH_ITEM, ITEM_COLUMNS, ORDER_COLUMNS, PAGE, RSS_ENTRY, STORED_ITEM,
 )
-from tidings.shared import materialize
+from tidings.shared import LEAN, materialize, scratch, settings
 from tidings.sources import feeds, listings
 from tidings.sources.pages import read_pages
 from tidings.sources.reading import empty
+from tidings.sources.rows import IN_PLACE, ROW, Rows
 from tidings.sources.staging import OK, Staging, stage
 from tidings.sources.status import STATUS
 from tidings.sources.store import Store
@@ -86,39 +88,61 @@ def daily_run(spark: SparkSession, store: Store, fresh: DataFrame, as_of: str,
 
     `stream` names the stream and its batch if the items come from one; the run log keeps both.
 
-    The batch and the merged items are written to the shared folder once, because each has several
-    readers and the stores they were computed from change below; the merged items are the batch
-    plus the live items, never the archive. Order of the writes: archive, ledger, live, then the
+    The live items and the batch are written to a folder of the run once, because each has several
+    readers and the stores they were computed from change below. All that decides where an item goes is done on its key,
+    dates and place, which are joined, shuffled and written; the items are picked by number when a store is
+    written. The folder goes when the run ends, however it ends. Order of the writes: archive, ledger, live, then the
     run log that makes the run count. What was replaced long enough ago is deleted last.
     """
     previous = store.last_run(spark)
     batch = previous["batch"] + 1 if previous else 1
     existing = store.live(spark)
-    fresh = materialize(
-        fresh.withColumn("batch", F.lit(batch).cast("long")).select(*STORED_ITEM.fieldNames()),
-        "fresh")
-    merged = materialize(merge(existing, fresh, store.ledger(spark), as_of), "merged")
+    fresh = fresh.withColumn("batch", F.lit(batch).cast("long")).select(*STORED_ITEM.fieldNames())
+    both = (existing.withColumn("stored", F.lit(True))
+            .unionByName(fresh.withColumn("stored", F.lit(False))))
+    with scratch(spark, "run") as folder, settings(spark, LEAN), closing(Rows(both, f"{folder}/rows")) as rows:
+        summary = _merge_rows(spark, store, rows, folder, existing, as_of, max_items, max_age_days, batch, stream)
+    store.vacuum(spark)
+    return summary
+
+
+def _merge_rows(spark: SparkSession, store: Store, rows: Rows, folder: str, existing: DataFrame, as_of: str,
+                max_items: int | None, max_age_days: int | None, batch: int,
+                stream: tuple[str, int] | None) -> DataFrame:
+    """The run over its numbered rows: (`stored`) the live items, and the batch."""
+    def kept(frame: DataFrame, name: str) -> DataFrame:
+        return materialize(frame, name, folder, compression="zstd")
+
+    fresh = rows.all().where(~F.col("stored"))
+    narrow = ["id", "published", "first_seen", *ORDER_COLUMNS, ROW]
+    merged = kept(merge(rows.all().where("stored").select(*narrow), fresh.select(*narrow), store.ledger(spark), as_of)
+                  .drop("published"), "merged")
     last = last_kept(merged, as_of, max_items, max_age_days) if max_items else None
     placed = ar.with_month(with_placement(merged, as_of, max_items, max_age_days, last=last))
-
-    outside = ar.with_digest(placed.where(F.col("placement") == ARCHIVE)
-                             .select(*ARCHIVED_ITEM.fieldNames()))
-    keys = materialize(ar.news(store.archive_index(spark), outside), "news")
-    # The keys are written, so Spark knows their size: a few are broadcast and no item is shuffled.
-    outgoing = materialize(outside.join(keys, ["month", "id"], "left_semi"), "outgoing")
+    past = placed.where(F.col("placement") == ARCHIVE)
+
+    with settings(spark, IN_PLACE):
+        outside = ar.with_digest(rows.pick(past.select(ROW, "first_seen", "month"))
+                                 .select(*ARCHIVED_ITEM.fieldNames()))
+        digests = kept(outside.select("month", "id", "digest"), "digests")
+    keys = kept(ar.news(store.archive_index(spark), digests), "news")
+    # The keys are written, so Spark knows their size: a few are broadcast.
+    chosen = kept(past.join(keys, ["month", "id"], "left_semi")
+                  .select("month", "id", "first_seen", *ORDER_COLUMNS, ROW), "outgoing")
     archived = keys.where(~F.col("held")).agg(F.count("*").alias("newly_archived"))
     summary = materialize(run_summary(existing, fresh, placed, archived), "summary")
+    newest = kept(placed.where(F.col("placement") == LIVE).select("first_seen", *ORDER_COLUMNS, ROW), "newest")
 
-    store.upsert_archive(outgoing)
-    store.append_ledger(ledger_additions(placed))
-    live_path = store.write_live(placed.where(F.col("placement") == LIVE), batch)
+    with settings(spark, IN_PLACE):
+        store.upsert_archive(rows.pick(chosen), chosen.select("month", "id"))
+        store.append_ledger(ledger_additions(placed))
+        live_path = store.write_live(rows.pick(newest), batch)
     store.write_manifest(spark)
     name, number = stream or (None, None)
     store.append_run(summary.select(
         F.lit(batch).cast("long").alias("batch"), F.lit(as_of).alias("as_of"),
         F.lit(live_path).alias("live_path"), F.lit(name).cast("string").alias("stream"),
         F.lit(number).cast("long").alias("stream_batch"), "*"))
-    store.vacuum(spark)
     return summary
 
 

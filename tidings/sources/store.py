@@ -38,8 +38,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidings.operators import archive as ar
 from tidings.operators.publish import newest_first
 from tidings.schema import (
-    ARCHIVE_INDEX, ARCHIVED_ITEM, COMMIT, ITEM, ITEM_COLUMNS, LEDGER, RUN, STORED_ITEM, VERSIONED_ITEM,
+    ARCHIVE_INDEX, ARCHIVED_ITEM, COMMIT, ITEM, ITEM_COLUMNS, LEDGER, ORDER_COLUMNS, RUN, STORED_ITEM, VERSIONED_ITEM,
 )
+from tidings.shared import LEAN, materialize, scratch, settings
 from tidings.sources import files
 from tidings.sources.reading import empty, read_or_empty
 
@@ -47,6 +48,9 @@ from tidings.sources.reading import empty, read_or_empty
 #: Files of the commit record, and files per bucket of the ledger, beyond which a vacuum writes them anew.
 MAX_COMMIT_FILES, MAX_BUCKET_FILES = 10, 10
 
+#: How items and the ledger are compressed; files that were compressed otherwise are read as well.
+CODEC = "zstd"
+
 
 @dataclass(frozen=True)
 class Store:
@@ -138,7 +142,7 @@ class Store:
         """Newest first, ties in insertion order: the files of the folder in the order of their names."""
         path = self.path(f"live/{batch:012d}")
         (items.select(*STORED_ITEM.fieldNames()).orderBy(*newest_first()).write.mode("overwrite")
-         .parquet(path))
+         .parquet(path, compression=CODEC))
         return path
 
     def append_ledger(self, additions: DataFrame) -> None:
@@ -168,24 +172,38 @@ class Store:
             once = self.ledger(spark).groupBy("id").agg(F.min("first_seen").alias("first_seen"))
             self._write_ledger(once, generation + 1, buckets)
 
-    def upsert_archive(self, incoming: DataFrame) -> None:
-        """Merge `incoming` (with `month`) into its months; other months are not read or written."""
+    def upsert_archive(self, incoming: DataFrame, keys: DataFrame | None = None) -> None:
+        """Merge `incoming` (with `month`) into its months; other months are not read or written.
+
+        `keys` are the (month, id) of `incoming`, if they have been written and each has one row only. The keys and
+        places of what is overwritten are written first, so Spark knows how many they are. With few of them no
+        archived row is shuffled: rows that stay are written by who read them, from files that lie by month
+        already, and only what is new is gathered by month.
+        """
         spark = incoming.sparkSession
         incoming = ar.with_digest(incoming.select(*ARCHIVED_ITEM.fieldNames()))
-        if incoming.isEmpty():
+        if (incoming if keys is None else keys).isEmpty():
             return
         last = self.commits(spark).agg(F.max("version")).first()[0]
         version = (last or 0) + 1
-        rows = self._archive_files(spark)
-        if rows is None:
-            rows = empty(spark, VERSIONED_ITEM)
-        held = ar.touched_months(rows.select(*incoming.columns), incoming)
-        index = ar.touched_months(self.archive_index(spark), incoming)
         path = self.path(f"archive/version={version}")
-        write_archive(ar.upsert(held, incoming, index=index), path)
-        written = spark.read.schema(ARCHIVED_ITEM).parquet(path).groupBy("month").agg(
+        with scratch(spark, "upsert") as folder, settings(spark, LEAN):
+            unique = keys is not None
+            if not unique:
+                keys = materialize(incoming.select("month", "id").distinct(), "keys", folder)
+            places = materialize(
+                ar.touched_months(self.archive_index(spark), keys).join(keys, ["month", "id"], "left_semi")
+                .select("month", "id", *ORDER_COLUMNS), "places", folder)
+            rows = self._archive_files(spark)
+            if rows is None:
+                rows = empty(spark, VERSIONED_ITEM)
+            held = ar.touched_months(rows.select(*incoming.columns), keys)
+            untouched, written = ar.upsert_parts(held, incoming, places=places, unique=unique)
+            write_archive(written, path)
+            add_to_archive(untouched, path)
+        counts = spark.read.schema(ARCHIVED_ITEM).parquet(path).groupBy("month").agg(
             F.count("*").alias("count"))
-        self._append_commits(written.select(
+        self._append_commits(counts.select(
             F.lit(version).cast("long").alias("version"), "month", "count",
             F.lit(int(time.time() * 1000)).cast("long").alias("at")))
 
@@ -284,7 +302,13 @@ def write_archive(items: DataFrame, path: str) -> None:
     sending it through one task.
     """
     (items.hint("rebalance", "month").write.mode("overwrite")
-     .option("partitionOverwriteMode", "static").partitionBy("month").parquet(path))
+     .option("partitionOverwriteMode", "static").partitionBy("month").parquet(path, compression=CODEC))
+
+
+def add_to_archive(items: DataFrame, path: str) -> None:
+    """Add items that were read by month, as they were read: small files that one task reads become one file of
+    each month, and no file is split further than its row groups."""
+    items.write.mode("append").partitionBy("month").parquet(path, compression=CODEC)
 
 
 # --- JSON interchange ---------------------------------------------------------------------------
