@@ -99,3 +99,23 @@ def test_two_runs_over_repeated_items_and_missing_ids(spark, tmp_path):
     assert set(live) == {"b", "c"} and live["b"].summary == texts["b"] and live["b"].batch == 1
     assert {r.title: (r.month, r.published, r.first_seen) for r in store.archive(spark).collect()} == {
         "a": ("2026-07", "2026-07-02", "2026-07-10"), "old": ("2020-01", "2020-01-01", "2026-07-10")}
+
+
+@pytest.mark.parametrize("least, gathered", [(1, 0), (1 << 40, 60)])
+def test_a_month_that_fills_a_task_is_written_where_it_lies(spark, tmp_path, monkeypatch, least, gathered):
+    """Both ways give the same archive; an archived item that changed keeps its place."""
+    monkeypatch.setattr(rw, "SETTLED_BYTES", least)
+    store, write, seen = st.Store(str(tmp_path / "s"), ledger_buckets=4), st.write_archive, []
+
+    def counted(items, path):
+        seen.append(items.count())
+        write(items, path)
+
+    monkeypatch.setattr(st, "write_archive", counted)
+    daily_run(spark, store, fresh(spark, *[(f"u{n}", "2020-01-05", n) for n in range(60)]), "2026-07-10", 10, 90)
+    assert seen == [gathered]
+    daily_run(spark, store, fresh(spark, ("u7", "2020-01-05", 0), ("new", "2020-01-06", 1)), "2026-07-11", 10, 90)
+    rows = {r.title: r for r in store.archive(spark).collect()}
+    assert len(rows) == 61 and store.archive(spark).count() == 61
+    assert (rows["u7"].batch, rows["u7"].pos) == (1, 7) and rows["new"].batch == 2
+    assert [tuple(r) for r in store.months(spark).select("month", "version", "count").collect()] == [("2020-01", 2, 61)]

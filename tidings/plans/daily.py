@@ -21,7 +21,7 @@ from tidings.shared import LEAN, materialize, scratch, settings
 from tidings.sources import feeds, listings
 from tidings.sources.pages import read_pages
 from tidings.sources.reading import empty
-from tidings.sources.rows import IN_PLACE, ROW, Rows
+from tidings.sources.rows import IN_PLACE, PART, ROW, Rows, with_part
 from tidings.sources.staging import OK, Staging, stage
 from tidings.sources.status import STATUS
 from tidings.sources.store import Store
@@ -133,8 +133,13 @@ def _merge_rows(spark: SparkSession, store: Store, rows: Rows, folder: str, exis
     summary = materialize(run_summary(existing, fresh, placed, archived), "summary")
     newest = kept(placed.where(F.col("placement") == LIVE).select("first_seen", *ORDER_COLUMNS, ROW), "newest")
 
+    # Where a task holds a lot of one month, it writes that month; only what is scattered is gathered.
+    settled = kept(rows.settled(chosen, "month"), "settled")
+    loose = kept(with_part(chosen).join(settled, [PART, "month"], "left_anti").drop(PART), "loose")
+    still = kept(with_part(chosen).join(settled, [PART, "month"], "left_semi").drop(PART), "still")
+
     with settings(spark, IN_PLACE):
-        store.upsert_archive(rows.pick(chosen), chosen.select("month", "id"))
+        store.upsert_archive(rows.pick(loose), chosen.select("month", "id"), settled=rows.pick(still))
         store.append_ledger(ledger_additions(placed))
         live_path = store.write_live(rows.pick(newest), batch)
     store.write_manifest(spark)

@@ -172,10 +172,12 @@ class Store:
             once = self.ledger(spark).groupBy("id").agg(F.min("first_seen").alias("first_seen"))
             self._write_ledger(once, generation + 1, buckets)
 
-    def upsert_archive(self, incoming: DataFrame, keys: DataFrame | None = None) -> None:
+    def upsert_archive(self, incoming: DataFrame, keys: DataFrame | None = None,
+                       settled: DataFrame | None = None) -> None:
         """Merge `incoming` (with `month`) into its months; other months are not read or written.
 
-        `keys` are the (month, id) of `incoming`, if they have been written and each has one row only. The keys and
+        `keys` are the (month, id) of `incoming`, if they have been written and each has one row only. Then more of
+        the incoming rows may come as `settled`: those that lie by month, and are written as they lie. The keys and
         places of what is overwritten are written first, so Spark knows how many they are. With few of them no
         archived row is shuffled: rows that stay are written by who read them, from files that lie by month
         already, and only what is new is gathered by month.
@@ -201,6 +203,9 @@ class Store:
             untouched, written = ar.upsert_parts(held, incoming, places=places, unique=unique)
             write_archive(written, path)
             add_to_archive(untouched, path)
+            if settled is not None:
+                settled = ar.with_digest(settled.select(*ARCHIVED_ITEM.fieldNames()))
+                add_to_archive(ar.upsert_parts(held, settled, places=places, unique=True)[1], path)
         counts = spark.read.schema(ARCHIVED_ITEM).parquet(path).groupBy("month").agg(
             F.count("*").alias("count"))
         self._append_commits(counts.select(
